@@ -262,7 +262,7 @@ def walk(owners: list[tuple[int, int, np.ndarray]], probes: list[tuple[int, int,
     pid = np.array([i for i, _, _ in probes])
     size = np.array([n for _, n, _ in probes], np.int64)
     shared = np.array([len(s) for _, _, s in probes], np.int64)
-    paths = sorted((np.sort(rank[np.searchsorted(names, s)]), i, n) for i, n, s in owners) if False else sorted(((np.sort(rank[np.searchsorted(names, s)]), i, n) for i, n, s in owners), key=lambda x: (x[0].tolist(), x[1]))
+    paths = sorted(((np.sort(rank[np.searchsorted(names, s)]), i, n) for i, n, s in owners), key=lambda x: (x[0].tolist(), x[1]))
     out: list[tuple[int, int, float]] = []
 
     def add(overlap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -380,3 +380,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, root) of every document that a smaller id stands for: all but one of each group."""
     return components(jaccard_join(docs, n, t, id_col, text_col))
+
+
+def without_near_duplicates(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each connected group; all columns stay.
+
+    A null id, a null or empty text has no group and stays; rows that repeat an id stay or go together.
+    """
+    gone = near_duplicates(docs, n, t, id_col, text_col).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
