@@ -26,7 +26,7 @@ ORACLE: dict[str, str] = {
     "op3_ngram_jaccard": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {ngram_join.N} THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - {ngram_join.N} + 2), i -> array_to_string(w[i:i + {ngram_join.N} - 1], ' ')) END)) AS g
+        ELSE [array_to_string(w[i:i + {ngram_join.N} - 1], ' ') for i in range(1, len(w) - {ngram_join.N} + 2)] END)) AS g
       FROM w WHERE len(w) > 0),
 c AS (SELECT g, min(doc_id) AS rep FROM s GROUP BY g),
 same AS (SELECT DISTINCT c.rep AS doc_a, s.doc_id AS doc_b FROM s JOIN c ON s.g = c.g WHERE s.doc_id <> c.rep),
