@@ -10,8 +10,6 @@ the cells of :mod:`.cells`, the lower ones are built in each task.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -39,7 +37,6 @@ def quantile(p: float, m: int) -> float:
     return high
 
 
-@cache
 def directions(dim: int, m: int = DIMS) -> np.ndarray:
     return np.random.default_rng(7919 + dim).standard_normal((dim, m))
 
