@@ -101,14 +101,13 @@ def parsed(text: str | None) -> dict | None:
     return {"fm": [{"key": k, "value": json.dumps(v, ensure_ascii=False)} for k, v in fm.items()], "raw": raw, "body": body, "error": None}
 
 
-@F.arrow_udf(ENTRY)
 def _parse(texts: pa.Array) -> pa.Array:
     return pa.array([parsed(t) for t in texts.to_pylist()], _ARROW)
 
 
 def parse(text: Column) -> Column:
     """:func:`parsed` of each text, as one struct."""
-    return _parse(text)
+    return F.arrow_udf(_parse, ENTRY)(text)
 
 
 # --- projections of parsed frontmatter ---------------------------------------

@@ -162,14 +162,13 @@ _ARROW = pa.struct([
 ])
 
 
-@F.arrow_udf(SCHEMA)
 def _parse(bodies: pa.Array) -> pa.Array:
     return pa.array([parsed(b) for b in bodies.to_pylist()], _ARROW)
 
 
 def parse(body: Column) -> Column:
     """All that :func:`parsed` finds, as one struct; null for a null body."""
-    return _parse(body)
+    return F.arrow_udf(_parse, SCHEMA)(body)
 
 
 def rewrite(text: str, markdown: dict[str, str], wiki: dict[str, tuple[str, str]]) -> str:
