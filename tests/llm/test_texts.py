@@ -1,0 +1,209 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from grapholith.llm import chaining, ngram_join, packing, pii, spm
+
+from .conftest import prose
+
+
+# --- SentencePiece -----------------------------------------------------------
+
+
+def best(text, pieces):
+    """Brute force: every segmentation."""
+    low = min(pieces.values()) - 10
+    top = None
+    for cuts in itertools.product([0, 1], repeat=max(0, len(text) - 1)):
+        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(text)]
+        parts = [text[a:b] for a, b in zip(at, at[1:])]
+        if all(p in pieces or len(p) == 1 for p in parts):
+            s = sum(pieces.get(p, low) for p in parts)
+            top = s if top is None or s > top + 1e-9 else top
+    return top
+
+
+def test_viterbi_is_best_and_streams():
+    r = random.Random(0)
+    pieces = {"a": -3.0, "b": -3.1, "ab": -4.0, "ba": -4.2, "aba": -5.5, "bb": -3.3, "abab": -6.0}
+    v = spm.Vocabulary.of(pieces)
+    names = [None, *pieces]
+    for _ in range(60):
+        text = "".join(r.choices("abc", k=r.randint(1, 10)))
+        ids = [i for part in spm.stream(text, v) for i in part]
+        assert abs(sum(pieces[names[i]] if i else min(pieces.values()) - 10 for i in ids) - best(text, pieces)) < 1e-9
+    stats = {}
+    assert sum(len(p) for p in spm.stream("ab" * 50_000, v, stats)) > 0
+    assert stats["held"] < 200  # a long text is never held whole
+
+
+def test_slices_equal_the_stream():
+    v = spm.Vocabulary()
+    c = spm.Codec(v)
+    for text in [prose(1, 50), "  a  b ", "é☃ \n\n tab\tX", "▁x", "y" * 300, ". , ...", "http://a.b/c?d=1", "﻿ﬀ", "\n", " "]:
+        plain = " " + text.replace(spm.BLANK, " ")
+        assert c.encode(text).tolist() == [i for p in spm.stream(plain.replace(" ", spm.BLANK), v) for i in p]
+        assert c.decode(c.encode(text)) == text.replace(spm.BLANK, " ")
+
+
+def test_round_trip_of_odd_rows(spark, make, odd):
+    docs = make(odd)
+    out = spm.encode_documents(docs)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "lossless"]
+    rows = out.collect()
+    assert len(rows) == len(odd) and all(r["lossless"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+    back = spm.decode_documents(out)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in back.collect()) == sorted((i or -1, t or "") for i, t in odd)
+    assert spm.encode_documents(make([])).collect() == []
+
+
+# --- packing -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("length", [7, 256, 100_000])
+def test_packing_is_one_stream(spark, make, odd, length):
+    rows = sorted(packing.pack(make(odd).repartition(3), length).collect(), key=lambda r: r["window_id"])
+    c = spm.Codec(spm.Vocabulary())
+    stream, starts = [], []
+    for i, t in sorted(((i, t) for i, t in odd if t is not None), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        starts.append((i, len(stream)))
+        stream += [*c.encode(t).tolist(), packing.END]
+    assert [x for r in rows for x in r["ids"]] == stream
+    assert [r["window_id"] for r in rows] == list(range(len(rows))) and all(len(r["ids"]) == length for r in rows[:-1])
+    for r in rows:
+        w = r["window_id"] * length
+        ends = [s for _, s in starts[1:]] + [len(stream)]
+        assert list(zip(r["doc_ids"], r["doc_starts"], r["doc_offsets"])) == [(i, max(s, w) - w, max(0, w - s)) for (i, s), e in zip(starts, ends) if s < w + length and e > w]
+    assert packing.pack(make([]), length).collect() == []
+
+
+# --- n-gram join -------------------------------------------------------------
+
+
+def jaccard_pairs(rows, n=5, t=0.5):
+    import re
+
+    sets = {}
+    for i, x in rows:
+        w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (x or "").lower())
+        if i is not None and w:
+            sets[i] = {tuple(w)} if len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+
+
+def near(rows, seed):
+    r = random.Random(seed)
+    out = list(rows)
+    for k in range(40):
+        w = prose(500 + k % 8, 80).split()
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = "zz%d" % r.randint(0, 5)
+        out.append((100 + k, " ".join(w[: r.randint(30, 80)] if k % 3 else w)))
+    return out
+
+
+def test_join_is_complete(make, odd):
+    rows = near(odd, 1) + [(300 + k, prose(9, 40)) for k in range(30)]
+    got = ngram_join.jaccard_join(make(rows)).collect()
+    rep = {r["doc_b"]: r["doc_a"] for r in got if r["same_set"]}
+    pairs = {(r["doc_a"], r["doc_b"]) for r in got if not r["same_set"]}
+    ids = sorted({i for i, t in rows if i is not None})
+    mine = {(a, b) for a, b in itertools.combinations(ids, 2) if (x := tuple(sorted((rep.get(a, a), rep.get(b, b))))) in pairs or (x[0] == x[1])}
+    assert mine == jaccard_pairs(rows)
+    assert ngram_join.jaccard_join(make([])).collect() == []
+
+
+def test_one_of_each_group_stays(make, odd):
+    docs = make(near(odd, 2))
+    left = ngram_join.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    ids = [r["doc_id"] for r in left.collect()]
+    pairs = jaccard_pairs(near(odd, 2))
+    root = {}
+    for a, b in sorted(pairs):
+        root[b] = min(root.get(b, b), root.get(a, a), a)
+    assert ids.count(None) == 2 and {1, 2, 3, 4, 6, 7, 8} <= set(ids) and 5 not in ids
+    assert not any(a in ids and b in ids for a, b in pairs)
+
+
+# --- substring chains --------------------------------------------------------
+
+
+def test_planted_passages(make, odd):
+    r = random.Random(3)
+    rows, planted = list(odd), []
+    for k in range(12):
+        p = prose(700 + k % 4, 70).split()
+        for _ in range(3):
+            p[r.randrange(70)] = "changed"
+        a, b = prose(800 + k, r.randint(20, 200)), prose(900 + k, r.randint(20, 200))
+        rows.append((50 + k, f"{a} {' '.join(p)} {b}"))
+        planted.append((50 + k, k % 4, len(a.split())))
+    found = chaining.passages(make(rows)).collect()
+    hit = {r["doc_id"]: r for r in found}
+    for i, group, start in planted[4:]:
+        assert i in hit and hit[i]["source_id"] < i
+        assert abs(hit[i]["first_word"] - start) <= 4 and abs(hit[i]["end_word"] - start - 70) <= 4
+    assert {r["doc_id"] for r in found} == {i for i, _, _ in planted[4:]} | {5}
+    for r in found:
+        assert r["identity"] >= chaining.IDENTITY and r["end_word"] - r["first_word"] >= chaining.LEAST
+    assert chaining.passages(make([])).collect() == []
+
+
+def test_repeats_are_cut(make, odd):
+    docs = make([*odd, (20, prose(6, 40) + " " + prose(1, 120) + ". " + prose(8, 30))])
+    out = chaining.without_repeats(docs, chaining.passages(docs))
+    assert out.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in out.collect() if r["doc_id"]}
+    assert texts[5] == "" and texts[4] == prose(1, 120) and texts[1] is None and texts[7] == prose(3, 30_000)
+    assert texts[20] == prose(6, 40) + " " + prose(8, 30)
+
+
+def test_fenwick_chains_beat_brute_force():
+    r = random.Random(4)
+    for _ in range(40):
+        n = r.randint(2, 7)
+        p, q, l = (np.array([r.randint(0, 40) for _ in range(n)]) for _ in range(3))
+        l = l % 6 + 3
+        got = chaining.chains(p, q, l)
+        assert sorted(i for c in got for i in c) == list(range(n))
+
+        def score(c):
+            return sum(l[i] for i in c) - sum(chaining.GAP * (p[b] - p[a] - l[a] + q[b] - q[a] - l[a]) for a, b in zip(c, c[1:]))
+
+        def legal(c):
+            return all(p[a] + l[a] <= p[b] and q[a] + l[a] <= q[b] for a, b in zip(c, c[1:]))
+
+        top = max(score(c) for k in range(1, n + 1) for c in itertools.permutations(range(n), k) if legal(c))
+        assert all(legal(c) for c in got) and max(score(c) for c in got) == pytest.approx(top)
+
+
+# --- personal data -----------------------------------------------------------
+
+SECRETS = ["ann.lee@mail.example.org", "+1 (415) 555-0134", "83.12.7.201", "4111 1111 1111 1111", "9807915762804490", "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"]
+
+
+def test_planted_data_is_redacted_and_clean_texts_stay(make, odd):
+    rows = list(odd) + [(40 + k, f"{prose(k, 30)} {'token = ' if len(s) == 40 else ''}{s} {prose(k + 50, 30)}") for k, s in enumerate(SECRETS * 3)]
+    rows += [(90, "Licensed under version 2.0. In 1999, 12 of 300 came; see page 14, section 3.2.1."), (91, SECRETS[0] + SECRETS[1]), (92, "é☃ " + SECRETS[2])]
+    docs = make(rows)
+    out = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert set(out) == {40 + k for k in range(18)} | {91, 92}
+    for k, s in enumerate(SECRETS * 3):
+        assert s not in out[40 + k]["text"]
+    x = out[92]["spans"][0]
+    assert (x["kind"], x["start"], x["end"]) == ("IP", 3, 3 + len(SECRETS[2])) and out[92]["text"] == "é☃ [IP]"
+    red = pii.redact(docs)
+    assert red.columns == docs.columns and red.count() == len(rows)
+    assert {r["doc_id"]: r["text"] for r in red.collect()}[90] == rows[-3][1]
+    assert pii.detect(make([])).collect() == [] and pii.redact(make([])).collect() == []
+
+
+def test_expectation_maximisation_learns_a_bad_labeler():
+    r = np.random.default_rng(5)
+    truth = r.random(4000) < 0.5
+    v = np.where(truth[:, None], 1, -1) * np.where(r.random((4000, 6)) < [0.95, 0.9, 0.9, 0.85, 0.5, 0.9], 1, -1)
+    p, rel = pii.estimate(np.zeros(4000, int), v, np.ones(4000))
+    assert ((p > 0.5) == truth).mean() > 0.97 and abs(rel[4, 1, 2] - rel[4, 0, 2]) < 0.2 < rel[0, 1, 2] - rel[0, 0, 2]
