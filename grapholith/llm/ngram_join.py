@@ -387,5 +387,6 @@ def without_near_duplicates(docs: DataFrame, n: int = N, t: float = T, id_col: s
 
     A null id, a null or empty text has no group and stays; rows that repeat an id stay or go together.
     """
-    gone = near_duplicates(docs, n, t, id_col, text_col).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = scratch.fresh(docs, "gone")
+    found = near_duplicates(docs, n, t, id_col, text_col).select(F.col("doc_id").alias(gone))
+    return docs.join(found, F.col(id_col) == F.col(gone), "left_anti")

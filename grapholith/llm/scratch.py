@@ -52,3 +52,11 @@ def buckets(df: DataFrame, each: int, least: int = 12) -> int:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows: texts can be long, and a Python worker's memory is small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

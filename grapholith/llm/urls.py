@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 PROBES, BITS = 6, 16  # bits set per URL; bits of filter per URL
 MOST_BYTES = 64 << 20
 _SEGMENT = 1024  # blocks built in one task: 64 KB
@@ -89,17 +91,18 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url_col: str = "url", most
     named ``canonical_url`` is replaced.
     """
     spark = pages.sparkSession
-    keys = listed.select(canonical(F.col("url")).alias("__listed")).where("__listed is not null").distinct()
+    key = scratch.fresh(pages, "listed")
+    keys = listed.select(canonical(F.col("url")).alias(key)).where(F.col(key).isNotNull()).distinct()
     rows = pages.withColumn("canonical_url", canonical(F.col(url_col))).where("canonical_url is not null")
     n = keys.count()
     if not n:
         return rows.where("false")
     if n * BITS // 8 <= most_bytes:
-        shared = spark.sparkContext.broadcast(bloom(keys, "__listed", n))
+        shared = spark.sparkContext.broadcast(bloom(keys, key, n))
 
         @F.arrow_udf("boolean")
         def passes(h: pa.Array) -> pa.Array:
             return pa.array(may_hold(shared.value, h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
         rows = rows.where(passes(F.xxhash64("canonical_url")))
-    return rows.join(keys, F.col("canonical_url") == F.col("__listed"), "left_semi")
+    return rows.join(keys, F.col("canonical_url") == F.col(key), "left_semi")
