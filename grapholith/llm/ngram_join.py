@@ -33,6 +33,7 @@ from .words import bounds, grams, hashes, mix, pack48, raw, slices, unpack48
 
 N, T = 5, 0.5
 _U = np.uint64
+_PAIRS = 300_000  # pairs that are judged at once
 _TREE = 3000  # sets of one tree that are walked in one task; more are split into blocks, all visited
 
 
@@ -164,12 +165,23 @@ def gram_sets(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) ->
     b = scratch.buckets(slim, 2_500_000)
     packed = slim.mapInArrow(_emit_grams(n, b), "bucket int, block bigint, head boolean, rows binary, grams binary")
     counted = packed.groupBy("bucket").applyInArrow(_frequencies, "block bigint, head boolean, rows binary, grams binary, df binary")
-    m = max(8, b // 8)
+    m = max(8, b // 2)
     return counted.withColumn("some", F.expr(f"pmod(hash(block), {m})")).groupBy("some").applyInArrow(_drop_first(_sets(t)), "doc_id bigint, total int, lone int, f1 bigint, f2 bigint, tree bigint, grams binary")
 
 
 def _drop_first(f):
-    return lambda t: f(t.drop_columns(["some"]))
+    return _without("some", f)
+
+
+def _without(column: str, f):
+    """``f`` without the grouping column; what Arrow's pool holds unused goes back, as idle workers keep theirs."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t.drop_columns([column]))
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return run
 
 
 def _emit_prefixes(t: float, n_buckets: int):
@@ -232,7 +244,7 @@ def _visits(t_: float):
             heads = firsts[mixed & (runs == size)]
             i, j = np.triu_indices(size, 1) if size <= 1500 else (None, None)
             if i is not None:
-                step = max(1, 2_000_000 // len(i))
+                step = max(1, _PAIRS // len(i))
                 for k in range(0, len(heads), step):
                     h = heads[k : k + step, None]
                     judge((h + i).ravel(), (h + j).ravel())
@@ -335,7 +347,7 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_i
     scratch.small_batches(docs.sparkSession, 2000)
     b = scratch.buckets(reps, 2_000_000)
     prefixes = reps.mapInArrow(_emit_prefixes(t, b), "bucket int, ids binary, trees binary, totals binary, of binary, grams binary, before binary, at binary")
-    visits = prefixes.groupBy("bucket").applyInArrow(_drop_bucket(_visits(t)), "tree bigint, doc_id bigint").distinct()
+    visits = prefixes.groupBy("bucket").applyInArrow(_without("bucket", _visits(t)), "tree bigint, doc_id bigint").distinct()
     own = reps.select("tree", F.lit(True).alias("own"), "doc_id", "total", "grams")
     blocks = reps.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / _TREE).cast("int").alias("subs"))
     guests = visits.join(reps.drop("tree", "lone"), "doc_id").select("tree", F.lit(False).alias("own"), "doc_id", "total", "grams")
@@ -347,10 +359,6 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_i
     return pairs.select("doc_a", "doc_b", "jaccard", F.lit(False).alias("same_set")).unionByName(same)
 
 
-def _drop_bucket(f):
-    return lambda t: f(t.drop_columns(["bucket"]))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, root): the smallest id of each connected group, from (doc_a, doc_b).
 
