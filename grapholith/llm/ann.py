@@ -91,7 +91,7 @@ def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rad
                 best[rows], who[rows] = np.take_along_axis(both, s, 1), np.take_along_axis(names_, s, 1)
     rows, col = np.nonzero((who >= 0) & np.isfinite(best))
     at = who[rows, col]
-    return rows, ids[at], exact(q[rows], x[at])
+    return rows, ids[at], exact(q, rows, x, at)
 
 
 def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:

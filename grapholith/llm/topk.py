@@ -17,7 +17,7 @@ from .cells import CELL, DIGITS, nearest
 
 K = 10
 LEVELS = (1, 4, 16)
-_ROWS = 512  # queries at a time
+_ROWS = 256  # queries at a time
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -39,11 +39,11 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * (a @ b.T), 0)
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Distances of paired rows, by differences."""
-    out = np.empty(len(q))
-    for i in range(0, len(q), 65_536):
-        out[i : i + 65_536] = np.sqrt(((q[i : i + 65_536] - x[i : i + 65_536]) ** 2).sum(1))
+def exact(q: np.ndarray, rows: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (q[rows], x[at]), by differences, a bounded number at a time."""
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), 16_384):
+        out[i : i + 16_384] = np.sqrt(((q[rows[i : i + 16_384]] - x[at[i : i + 16_384]]) ** 2).sum(1))
     return out
 
 
@@ -62,7 +62,7 @@ def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rad
                 bound = _squares(own[-1], stats[-1])
                 bound[mine[:, None] == ids] = np.inf
                 seeds = np.argpartition(bound, k - 1, axis=1)[:, :k]
-                d = exact(np.repeat(part, k, 0), x[seeds.ravel()]).reshape(-1, k)
+                d = exact(part, np.repeat(np.arange(len(part)), k), x, seeds.ravel()).reshape(-1, k)
                 r = np.where(np.isfinite(np.take_along_axis(bound, seeds, 1)).all(1), d.max(1), np.inf)
         else:
             r = radius[i : i + _ROWS]
@@ -77,12 +77,15 @@ def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rad
                 break
         if not len(cols):
             continue
-        near = alive & (_squares(part, x[cols]) <= limit)
-        rows, at = np.nonzero(near)
+        d = np.where(alive, _squares(part, x[cols]), np.inf)
+        if len(cols) > k + 1:  # the k nearest here, and the row itself, narrow the limit
+            kth = np.partition(d, k, axis=1)[:, k]
+            limit = np.minimum(limit, ((np.sqrt(kth) + 2 * 10.0**-DIGITS) ** 2 + slack)[:, None])
+        rows, at = np.nonzero((d <= limit) & np.isfinite(d))
         at = cols[at]
         other = mine[rows] != ids[at]
         rows, at = rows[other], at[other]
-        found.append((rows + i, ids[at], exact(part[rows], x[at])))
+        found.append((rows + i, ids[at], exact(part, rows, x, at)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found))
