@@ -2,9 +2,9 @@
 
 Token ids of all documents, in the order of their ids and each followed by an end
 mark, form one stream that is cut into windows of a fixed length. Pass one writes
-the ids per partition with running sums; the partition totals give every
-partition's global offset. Pass two cuts windows inside each partition without a
-shuffle: only the pieces at a partition's two ends travel, as boundary records.
+the ids per partition with running sums; the partition totals, a few numbers in
+the driver, give every partition's global offset. Pass two cuts windows inside each
+partition without a shuffle: only the pieces at a partition's two ends travel.
 """
 
 from __future__ import annotations
@@ -14,41 +14,44 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .spm import MODEL, Codec, Vocabulary, _lists, _rows_by_size
+from .spm import MODEL, SLICE, Codec, Vocabulary, _lists
+from .words import raw, slices
 
 END = 2
-_SCHEMA = "window_id bigint, ids array<int>, doc_ids array<bigint>, doc_starts array<int>, doc_offsets array<bigint>"
+MOST_PARTS = 65_536  # partitions, so that their totals stay under 1 MB in the driver and the tasks
+_SCHEMA_CUT = "window_id bigint, at int, whole boolean, ids array<int>, doc_ids array<bigint>, doc_starts array<int>, doc_offsets array<bigint>"
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    n = scratch.buckets(slim, 16_000_000)
+    n = min(scratch.buckets(slim, 16_000_000), MOST_PARTS)
     return slim.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end: int) -> DataFrame:
-    """(part, seq, local, n, doc_id, ids): ids with the end mark, ``local`` the running sum before."""
+    """(part, local, n, doc_id, ids): ids with the end mark, ``local`` the running sum before."""
     v = Vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, total, seq = Codec(v), TaskContext.get().partitionId(), 0, 0
+        codec, part, total = Codec(v), TaskContext.get().partitionId(), 0
         for b in batches:
-            for i, j in _rows_by_size(b.column(1)):
-                ids = [np.append(x, np.int32(end)) for x in codec.encode_all(b.column(1).slice(i, j - i).to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64)
-                local = total + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), pa.array(local), pa.array(n), b.column(0).slice(i, j - i), _lists(ids, pa.int32())], ["part", "seq", "local", "n", "doc_id", "ids"])
-                total, seq = total + int(n.sum()), seq + len(n)
+            for i, j in slices(raw(b.column(1))[1], SLICE):
+                ids, offsets = codec.encode_slice(b.column(1).slice(i, j - i))
+                ids, offsets = np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
+                n = np.diff(offsets)
+                local = total + offsets[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(n), b.column(0).slice(i, j - i), _lists(ids, offsets)], ["part", "local", "n", "doc_id", "ids"])
+                total += int(offsets[-1])
 
-    return _ordered(docs, id_col, text_col).mapInArrow(run, "part int, seq bigint, local bigint, n bigint, doc_id bigint, ids array<int>")
+    return _ordered(docs, id_col, text_col).mapInArrow(run, "part int, local bigint, n bigint, doc_id bigint, ids array<int>")
 
 
-def _cut(length: int):
-    """Cut contiguous rows into whole windows and end pieces (``whole`` false)."""
+def _cut(length: int, before: np.ndarray, whole_ones: bool):
+    """Cut contiguous rows (part, local, doc_id, ids) into windows: the whole ones, or the pieces at the ends of a run."""
 
     class Run:
         def __init__(self, start: int):
@@ -89,24 +92,30 @@ def _cut(length: int):
         now: Run | None = None
         names = ["window_id", "at", "whole", "ids", "doc_ids", "doc_starts", "doc_offsets"]
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
+        def batch(rows: list[tuple]) -> pa.RecordBatch | None:
+            rows = [r for r in rows if r[2] == whole_ones]
+            if not rows:
+                return None
             w, at, whole, ids, docs, starts, offs = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(at, pa.int32()), pa.array(whole, pa.bool_()), _lists(list(ids), pa.int32()), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(offs, pa.list_(pa.int64()))], names)
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(at, pa.int32()), pa.array(whole, pa.bool_()), _lists(np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])]), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(offs, pa.list_(pa.int64()))], names)
 
         for b in batches:
-            lists = b.column(2)
+            starts = before[b.column(0).to_numpy()] + b.column(1).to_numpy()
+            lists = b.column(3)
             values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for k, (start, doc) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            done: list[tuple] = []
+            for k, (start, doc) in enumerate(zip(starts.tolist(), b.column(2).to_pylist())):
                 if now is not None and start != now.next:
-                    if rows := now.take(True):
-                        yield batch(rows)
+                    done += now.take(True)
                     now = None
                 now = now or Run(start)
                 now.add(doc, values[offsets[k] : offsets[k + 1]])
-            if now is not None and (rows := now.take(False)):
-                yield batch(rows)
-        if now is not None and (rows := now.take(True)):
-            yield batch(rows)
+            if now is not None:
+                done += now.take(False)
+            if out := batch(done):
+                yield out
+        if now is not None and (out := batch(now.take(True))):
+            yield out
 
     return run
 
@@ -123,18 +132,12 @@ def pack(docs: DataFrame, length: int = 2048, path: str = MODEL, id_col: str = "
     spark = docs.sparkSession
     scratch.small_batches(spark)
     rows = scratch.table(tokenised(docs, path, id_col, text_col, end), "tokens")
-    totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
-    offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    # one row a partition: at 16 MB a partition some 100 MB at 100 TB, so the join's strategy is left to its size
-    placed = rows.join(offsets, "part").select((F.col("local") + F.coalesce("before", F.lit(0))).alias("start"), "doc_id", "ids")
-    pieces = placed.mapInArrow(_cut(length), "window_id bigint, at int, whole boolean, ids array<int>, doc_ids array<bigint>, doc_starts array<int>, doc_offsets array<bigint>")
-    return _merged(pieces)
-
-
-def _merged(pieces: DataFrame) -> DataFrame:
-    """Whole windows pass; pieces of one window meet. Read twice, hence written once."""
-    table = scratch.table(pieces, "windows")
+    totals = {r["part"]: r["total"] for r in rows.groupBy("part").agg(F.sum("n").alias("total")).collect()}
+    counts = np.array([totals.get(p, 0) for p in range(max(totals, default=-1) + 1)], np.int64)
+    before = np.cumsum(counts) - counts
     names = ["window_id", "ids", "doc_ids", "doc_starts", "doc_offsets"]
-    parts = table.where("not whole").groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids", "doc_ids", "doc_starts", "doc_offsets"))).alias("p"))
-    joined = parts.select("window_id", F.flatten("p.ids").alias("ids"), F.flatten("p.doc_ids").alias("doc_ids"), F.flatten("p.doc_starts").alias("doc_starts"), F.flatten("p.doc_offsets").alias("doc_offsets"))
-    return table.where("whole").select(names).unionByName(joined.select(names))
+    tokens = rows.select("part", "local", "doc_id", "ids")
+    pieces = tokens.mapInArrow(_cut(length, before, False), _SCHEMA_CUT)
+    met = pieces.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids", "doc_ids", "doc_starts", "doc_offsets"))).alias("p"))
+    joined = met.select("window_id", F.flatten("p.ids").alias("ids"), F.flatten("p.doc_ids").alias("doc_ids"), F.flatten("p.doc_starts").alias("doc_starts"), F.flatten("p.doc_offsets").alias("doc_offsets"))
+    return tokens.mapInArrow(_cut(length, before, True), _SCHEMA_CUT).select(names).unionByName(joined)

@@ -12,19 +12,21 @@ two of them is looked up in a bounded memo.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .words import raw, slices
+from .words import hashes, raw, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+TOGETHER = 100  # bytes of a chunk that the vectorised lattice takes; longer ones are streamed
+SLICE = 4_000_000  # bytes of texts encoded at once, or one longer text
 
 
 class Vocabulary:
@@ -69,8 +71,8 @@ def stream(text: Iterable[str], v: Vocabulary, stats: dict | None = None) -> Ite
     ``stats`` gets ``held``, the most characters held back at once.
     """
     pieces, longest, unk = v.pieces, v.longest, v.unk_score
-    held, base = "", 0  # characters since the last commit, and the position of the first
-    best: list[float] = [0.0]  # by position - base
+    held = ""  # characters since the last commit
+    best: list[float] = [0.0]  # by position in held
     back: list[int] = [0]
 
     def ids(a: int, b: int) -> list[int]:
@@ -108,7 +110,6 @@ def stream(text: Iterable[str], v: Vocabulary, stats: dict | None = None) -> Ite
                 yield ids(0, meet)
                 low = best[meet]
                 held, best, back = held[meet:], [b - low for b in best[meet:]], [max(0, b - meet) for b in back[meet:]]
-                base += meet
     if held:
         yield ids(0, len(held))
 
@@ -145,11 +146,16 @@ class Table:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The row in ids and scores of each hash; the last one where there is no piece."""
-        out = np.full(h.shape, len(self.ids) - 1, np.int32)
-        for level in range(3):
-            at = (h * np.uint64(_ODD[level])) >> np.uint64(64 - self.BITS)
-            hit = self.keys[level][at] == h
-            out[hit] = self.slots[level][at[hit]]
+        none = len(self.ids) - 1
+        at = (h * np.uint64(_ODD[0])) >> np.uint64(64 - self.BITS)
+        out = self.slots[0][at]
+        left = np.flatnonzero(((self.keys[0][at] != h) & (out != none)).ravel())  # the slot is another's: it may have overflowed
+        flat, rest = out.reshape(-1), h.ravel()[left]
+        flat[left] = none
+        for level in (1, 2):
+            at = (rest * np.uint64(_ODD[level])) >> np.uint64(64 - self.BITS)
+            hit = (self.keys[level][at] == rest) & (self.slots[level][at] != none)
+            flat[left[hit]] = self.slots[level][at[hit]]
         return out
 
 
@@ -168,16 +174,14 @@ def lattice(chunks: list[str], n: int, t: Table, v: Vocabulary) -> list[bytes |
     for m in range(1, min(n, v.longest) + 1):
         h = h[: n - m + 1] * np.uint64(_BASE) + chars[m - 1 :]
         found.append(t.find(h))
-    single = found[0] < len(t.ids) - 1
+    scores = [t.scores[f] for f in found]
+    scores[0] = np.where(found[0] < len(t.ids) - 1, scores[0], v.unk_score)  # any character may stand alone
     for e in range(1, n + 1):
         for m in range(1, min(e, v.longest) + 1):  # a longer last piece wins a tie
-            score = t.scores[found[m - 1][e - m]]
-            if m == 1:
-                score = np.where(single[e - 1], score, v.unk_score)
-            score = score + best[e - m]
-            up = (score >= best[e]) & (score > -np.inf)
-            best[e][up] = score[up]
-            size[e][up] = m
+            score = scores[m - 1][e - m] + best[e - m]
+            up = score >= best[e]
+            np.copyto(best[e], score, where=up)
+            np.copyto(size[e], m, where=up)
     ids, lens, at = np.zeros((k, n), np.int32), np.zeros(k, np.int32), np.full(k, n)
     every = np.arange(k)
     while (live := every[at > 0]).size:
@@ -195,57 +199,99 @@ def lattice(chunks: list[str], n: int, t: Table, v: Vocabulary) -> list[bytes |
 
 
 class Memo(dict):
-    """Encoded chunks between settled boundaries; emptied when full, so memory is bounded."""
+    """Ids of chunks (UTF-8) between settled boundaries; emptied when full, so memory is bounded."""
 
     def __init__(self, v: Vocabulary, most: int = 400_000):
         self.v, self.most, self.table = v, most, None
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the unknown ones of up to 32 characters together, by length."""
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode the unknown ones of up to ``TOGETHER`` characters together, by length."""
         if len(self) > self.most:
             self.clear()
-        by: dict[int, list[str]] = {}
+        by: dict[int, list[bytes]] = {}
         for c in chunks:
-            if c not in self and len(c) <= 32:
-                by.setdefault(len(c), []).append(c)
+            if c not in self and len(c) <= TOGETHER:
+                by.setdefault(len(c.decode()), []).append(c)
         if by:
             self.table = self.table or Table(self.v)
         for n, group in by.items():
             for i in range(0, len(group), 8192):
                 part = group[i : i + 8192]
-                self.update((c, ids) for c, ids in zip(part, lattice(part, n, self.table, self.v)) if ids is not None)
+                self.update((c, ids) for c, ids in zip(part, lattice([c.decode() for c in part], n, self.table, self.v)) if ids is not None)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        return np.fromiter((i for part in stream(chunk.decode().replace(" ", BLANK), self.v) for i in part), np.int32).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        return np.fromiter((i for part in stream(chunk.replace(" ", BLANK), self.v) for i in part), np.int32).tobytes()
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of ``flat``, one after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
 
 
 class Codec:
-    """Encode and decode whole texts in one process."""
+    """Encode and decode whole texts in one process, a slice of them at a time."""
 
     def __init__(self, v: Vocabulary, dummy_prefix: bool = True):
         self.v, self.dummy, self.memo = v, dummy_prefix, Memo(v)
-        self.find = re.compile(r" *[^ \n]+| +|\n" if v.line_parts else r" *[^ ]+| +").findall
+        self.sizes = np.array([len(n) for n in v.names], np.int64)
+        self.starts, self.bytes_ = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(v.names), np.uint8)
+
+    def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts; a null has none. Each different chunk is looked up once."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if self.dummy:
+            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        data, offsets = raw(texts)
+        whole = data.tobytes()
+        if BLANK.encode() in whole:
+            data, offsets = raw(pc.replace_substring(texts, BLANK, " "))
+            whole = data.tobytes()
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        if not self.v.words_part:
+            parts = [np.fromiter((i for part in stream(whole[a:z].decode().replace(" ", BLANK), self.v) for i in part), np.int32) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+        blank, line = data == 32, (data == 10) & self.v.line_parts
+        head = line.copy()
+        head[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        head[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(head)
+        ends = np.r_[starts[1:], len(data)]
+        _, at, back = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        chunks = [whole[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist())]
+        self.memo.learn(chunks)
+        known = list(map(self.memo.__getitem__, chunks))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        counts = sizes[back]
+        ids = gather(np.frombuffer(b"".join(known), np.int32), (np.cumsum(sizes) - sizes)[back], counts)
+        return ids, np.r_[0, np.cumsum(counts)][np.searchsorted(starts, offsets)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_slice(pa.array([text], pa.large_string()))[0]
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [(" " if self.dummy else "") + x.replace(BLANK, " ") if x else "" for x in texts]
-        if not self.v.words_part:
-            return [np.fromiter((i for part in stream(x.replace(" ", BLANK), self.v) for i in part), np.int32) for x in texts]
-        chunks = list(map(self.find, texts))
-        self.memo.learn(set().union(*chunks))
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, x)), np.int32) for x in chunks]
+    def decode_slice(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(UTF-8 bytes, offsets) of lists of ids, with the leading blank."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        return gather(self.bytes_, self.starts[ids], sizes), np.r_[0, np.cumsum(sizes)][offsets]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.v.names.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        text = self.decode_slice(ids, np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "replace")
         return text[1:] if self.dummy and text[:1] == " " else text
 
+    def lossless(self, texts: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        """Whether each text comes back from its ids."""
+        got, at = self.decode_slice(ids, offsets)
+        data, own = raw(texts)
+        got, data, skip = got.tobytes(), data.tobytes(), int(self.dummy)
+        return [data[a:z] == got[p + skip * (z > a) : q] for a, z, p, q in zip(own[:-1].tolist(), own[1:].tolist(), at[:-1].tolist(), at[1:].tolist())]
+
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values, kind))
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
@@ -261,13 +307,12 @@ def encode_documents(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(v)
         for b in batches:
-            texts = b.column(1)
-            for i, j in _rows_by_size(texts):
-                t = texts.slice(i, j - i).to_pylist()
-                ids = codec.encode_all(t)
-                cols = [b.column(0).slice(i, j - i), _lists(ids, pa.int32()), pa.array([len(x) for x in ids], pa.int64())]
+            for i, j in slices(raw(b.column(1))[1], SLICE):
+                texts = b.column(1).slice(i, j - i)
+                ids, offsets = codec.encode_slice(texts)
+                cols = [b.column(0).slice(i, j - i), _lists(ids, offsets), pa.array(np.diff(offsets))]
                 if check:
-                    cols.append(pa.array([codec.decode(a) == (x or "") for a, x in zip(ids, t)], pa.bool_()))
+                    cols.append(pa.array(codec.lossless(texts, ids, offsets), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "lossless"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -286,7 +331,3 @@ def decode_documents(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_i
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
-
-
-def _rows_by_size(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    yield from slices(raw(texts)[1])
