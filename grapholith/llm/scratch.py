@@ -7,8 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_UNKNOWN = 1 << 60  # Spark tells the largest number where it knows no size
 
 
 def folder(spark: SparkSession) -> str:
@@ -40,8 +42,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of a plan: file sizes for scans."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of a plan's result: Catalyst's guess, its scans' files at most; measured in one pass where a scan has no size."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size, scans = (int(str(x)) for x in (plan.stats().sizeInBytes(), sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))))
+    if scans < _UNKNOWN:
+        return min(size, scans)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.sum(sum(texts, F.lit(8)).cast("bigint"))).first()[0] or 0) // 2
 
 
 def buckets(df: DataFrame, each: int, least: int = 12) -> int:

@@ -71,7 +71,7 @@ def stream(text: Iterable[str], v: Vocabulary, stats: dict | None = None) -> Ite
     ``stats`` gets ``held``, the most characters held back at once.
     """
     pieces, longest, unk = v.pieces, v.longest, v.unk_score
-    held = ""  # characters since the last commit
+    held, look = "", 2 * longest  # characters since the last commit, and at how many the paths are walked
     best: list[float] = [0.0]  # by position in held
     back: list[int] = [0]
 
@@ -99,7 +99,7 @@ def stream(text: Iterable[str], v: Vocabulary, stats: dict | None = None) -> Ite
         back.append(at)
         if stats is not None:
             stats["held"] = max(stats.get("held", 0), end)
-        if end % longest == 0 and end > longest:
+        if end >= look:
             alive = set(range(end - longest + 1, end + 1))
             while len(alive) > 1:  # walk the latest state back until all paths meet
                 last = max(alive)
@@ -110,6 +110,7 @@ def stream(text: Iterable[str], v: Vocabulary, stats: dict | None = None) -> Ite
                 yield ids(0, meet)
                 low = best[meet]
                 held, best, back = held[meet:], [b - low for b in best[meet:]], [max(0, b - meet) for b in back[meet:]]
+            look = len(held) + max(longest, len(held) // 2)  # paths that don't meet are walked rarely: linear time in all
     if held:
         yield ids(0, len(held))
 
