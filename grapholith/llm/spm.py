@@ -1,18 +1,27 @@
-"""SentencePiece encoding and decoding by streaming Viterbi.
-
-The best segmentation maximises the sum of piece scores, as the unigram model
-does; among equal sums the longer last piece wins. A character in no piece costs
-the lowest score less ten and becomes its UTF-8 byte pieces (or the unknown id).
-Only starts within the longest piece's length can still be extended, so the
-decoder keeps that window of states and commits ids whenever the backpointers of
-all of them meet in one boundary. A blank after a word is such a boundary in any
+"""SentencePiece encoding and decoding, each kind of model by its own rule, as a stream.
+
+BPE (the installed model): of all neighbours whose concatenation is a piece, the
+pair of the highest score merges, the leftmost of equals, until none is left.
+No merge crosses two characters that are neighbours in no piece: ids are
+committed there.
+
+Unigram: the best segmentation maximises the sum of piece scores; among equal
+sums the longer last piece wins. A character in no piece costs the lowest score
+less ten. Only starts within the longest piece's length can still be extended, so
+the Viterbi decoder keeps that window of states and commits ids whenever the
+backpointers of all of them meet in one boundary.
+
+A character in no piece becomes its UTF-8 byte pieces (or the unknown id).
+A blank after a word is a settled boundary of either kind in any
 vocabulary whose pieces have blanks at their beginning only: what lies between
 two of them is looked up in a bounded memo.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +38,32 @@ TOGETHER = 100  # bytes of a chunk that the vectorised lattice takes; longer one
 SLICE = 4_000_000  # bytes of texts encoded at once, or one longer text
 
 
+def _varint(b: bytes, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while b[at] & 128:
+        n |= (b[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+    return n | b[at] << shift, at + 1
+
+
+def _field(b: bytes, number: int) -> int | bytes | None:
+    """The last value of a field of a protobuf message; None without one."""
+    at, out = 0, None
+    while at < len(b):
+        key, at = _varint(b, at)
+        if key & 7 == 0:
+            x, at = _varint(b, at)
+        else:
+            n, at = _varint(b, at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            x, at = b[at : at + n], at + n
+        if key >> 3 == number:
+            out = x
+    return out
+
+
+_TRAINER, _KIND, _BPE = 2, 3, 2  # ModelProto.trainer_spec, TrainerSpec.model_type, its value
+
+
 class Vocabulary:
     """Pieces and scores of a model file; small, and sent to the executors as it is."""
 
@@ -41,6 +76,7 @@ class Vocabulary:
         self.bytes_ = {int(p.id_to_piece(i)[1:-1], 16): i for i in every if p.is_byte(i)}
         self.pieces = {p.id_to_piece(i): (i, p.get_score(i)) for i in every if not special[i] and not p.is_byte(i)}
         self.unk = p.unk_id()
+        self.merges = _field(_field(p.serialized_model_proto(), _TRAINER) or b"", _KIND) == _BPE
         self.names = [b"" if special[i] else bytes([int(p.id_to_piece(i)[1:-1], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace(BLANK, " ").encode() for i in every]
         self._finish()
 
@@ -50,12 +86,13 @@ class Vocabulary:
         long = [p for p in self.pieces if len(p) > 1]
         self.words_part = not any(BLANK in p.lstrip(BLANK) for p in long)
         self.line_parts = not any("\n" in p for p in long)
+        self.near = {p[i : i + 2] for p in long for i in range(len(p) - 1)} if self.merges else set()
 
     @classmethod
-    def of(cls, pieces: dict[str, float]) -> Vocabulary:
+    def of(cls, pieces: dict[str, float], merges: bool = False) -> Vocabulary:
         """A vocabulary for tests: ids 1.. in order, 0 unknown, no bytes."""
         v = cls.__new__(cls)
-        v.bytes_, v.unk = {}, 0
+        v.bytes_, v.unk, v.merges = {}, 0, merges
         v.pieces = {p: (i, s) for i, (p, s) in enumerate(pieces.items(), 1)}
         v.names = [b"", *(p.replace(BLANK, " ").encode() for p in pieces)]
         v._finish()
@@ -65,11 +102,53 @@ class Vocabulary:
         return [self.bytes_[b] for b in char.encode()] if self.bytes_ else [self.unk]
 
 
+def merge(parts: list[str], v: Vocabulary) -> list[int]:
+    """Ids of characters by the model's merges, from a heap of the pairs that are pieces."""
+    n, pieces = len(parts), v.pieces
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(-got[1], i, 2) for i in range(n - 1) if (got := pieces.get(parts[i] + parts[i + 1]))]
+    heapify(heap)
+    while heap:
+        _, a, size = heappop(heap)
+        b = after[a]
+        if not parts[a] or b == n or len(parts[a]) + len(parts[b]) != size:
+            continue  # one of the two has merged since
+        parts[a] += parts[b]
+        parts[b] = ""
+        after[a] = after[b]
+        if after[a] < n:
+            before[after[a]] = a
+        for x, y in ((before[a], a), (a, after[a])):
+            if x >= 0 and y < n and (got := pieces.get(parts[x] + parts[y])):
+                heappush(heap, (-got[1], x, len(parts[x]) + len(parts[y])))
+    out: list[int] = []
+    for p in filter(None, parts):
+        got = pieces.get(p)
+        out += [got[0]] if got else v.unknown(p)
+    return out
+
+
+def _stream_merges(text: Iterable[str], v: Vocabulary, stats: dict | None) -> Iterator[list[int]]:
+    held: list[str] = []
+    for c in text:
+        if held and held[-1] + c not in v.near:
+            yield merge(held, v)
+            held = []
+        held.append(c)
+        if stats is not None:
+            stats["held"] = max(stats.get("held", 0), len(held))
+    if held:
+        yield merge(held, v)
+
+
 def stream(text: Iterable[str], v: Vocabulary, stats: dict | None = None) -> Iterator[list[int]]:
     """Yield lists of ids as they are settled; ``text`` is an iterable of characters.
 
     ``stats`` gets ``held``, the most characters held back at once.
     """
+    if v.merges:
+        yield from _stream_merges(text, v, stats)
+        return
     pieces, longest, unk = v.pieces, v.longest, v.unk_score
     held, look = "", 2 * longest  # characters since the last commit, and at how many the paths are walked
     best: list[float] = [0.0]  # by position in held
@@ -199,6 +278,63 @@ def lattice(chunks: list[str], n: int, t: Table, v: Vocabulary) -> list[bytes |
     return [None if bad[i] else flat[4 * (i * n + n - c) : 4 * (i + 1) * n] for i, c in enumerate(lens.tolist())]
 
 
+def merged(chunks: list[str], n: int, t: Table, v: Vocabulary) -> list[bytes | None]:
+    """Ids of chunks of up to n characters by the model's merges, one in each chunk a round; None where a character is in no piece."""
+    k, base, none = len(chunks), np.uint64(_BASE), len(t.ids) - 1
+    lens = np.fromiter(map(len, chunks), np.int64, k)
+    cols = np.arange(n)
+    alive = cols < lens[:, None]
+    h = np.frombuffer("".join([c.ljust(n) for c in chunks]).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    power = np.full(n + 1, base)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    pair = np.full((k, n), none, np.int32)  # the piece that a part and the next one make
+    two = alive[:, 1:]
+    grid = h.reshape(k, n)
+    pair[:, :-1][two] = t.find((grid[:, :-1] * base + grid[:, 1:])[two])
+    scores = t.scores.astype(np.float32)
+    score = scores[pair]
+    pair, flat, alive = pair.ravel(), score.ravel(), alive.ravel()
+    part, size = np.full(k * n, -1, np.int32), np.ones(k * n, np.int32)
+    after = np.arange(1, k * n + 1)
+    before = after - 2
+    first, end = np.arange(k) * n, np.arange(k) * n + lens
+    while True:
+        a = score.argmax(1) + first  # the leftmost of equals
+        go = np.flatnonzero(flat[a] > -np.inf)
+        if not go.size:
+            break
+        a = a[go]
+        b = after[a]
+        h[a] = h[a] * power[size[b]] + h[b]
+        size[a] += size[b]
+        part[a] = pair[a]
+        alive[b] = False
+        flat[b] = flat[a] = -np.inf
+        c, stop = after[b], end[go]
+        after[a] = c
+        right = c < stop
+        before[c[right]] = a[right]
+        p = before[a]
+        left = p >= first[go]
+        x, y = np.r_[a[right], p[left]], np.r_[c[right], a[left]]  # the two pairs that have the merged part
+        pair[x] = t.find(h[x] * power[size[y]] + h[y])
+        flat[x] = scores[pair[x]]
+    kept = np.flatnonzero(alive)
+    part = part[kept]
+    single = np.flatnonzero(part < 0)
+    part[single] = t.find(h[kept[single]])
+    ids = t.ids[part]
+    cuts = np.searchsorted(kept, np.r_[first, k * n])
+    bad = np.zeros(k, bool)
+    bad[kept[ids < 0] // n] = True
+    out, cuts = ids.tobytes(), (4 * cuts).tolist()
+    return [None if x else out[i:j] for x, i, j in zip(bad.tolist(), cuts[:-1], cuts[1:])]
+
+
+_WIDTHS = (4, 6, 8, 10, 12, 16, 24, 40, TOGETHER)  # chunks of about one length merge together
+
+
 class Memo(dict):
     """Ids of chunks (UTF-8) between settled boundaries; emptied when full, so memory is bounded."""
 
@@ -212,16 +348,23 @@ class Memo(dict):
         by: dict[int, list[bytes]] = {}
         for c in chunks:
             if c not in self and len(c) <= TOGETHER:
-                by.setdefault(len(c.decode()), []).append(c)
+                n = len(c.decode())
+                by.setdefault(_WIDTHS[bisect_left(_WIDTHS, n)] if self.v.merges else n, []).append(c)
         if by:
             self.table = self.table or Table(self.v)
+        together = merged if self.v.merges else lattice
         for n, group in by.items():
+            if self.v.merges and len(group) < 20:
+                continue  # so few are faster one by one
             for i in range(0, len(group), 8192):
                 part = group[i : i + 8192]
-                self.update((c, ids) for c, ids in zip(part, lattice([c.decode() for c in part], n, self.table, self.v)) if ids is not None)
+                self.update((c, ids) for c, ids in zip(part, together([c.decode() for c in part], n, self.table, self.v)) if ids is not None)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        return np.fromiter((i for part in stream(chunk.decode().replace(" ", BLANK), self.v) for i in part), np.int32).tobytes()
+        ids = np.fromiter((i for part in stream(chunk.decode().replace(" ", BLANK), self.v) for i in part), np.int32).tobytes()
+        if len(chunk) <= TOGETHER:
+            self[chunk] = ids
+        return ids
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

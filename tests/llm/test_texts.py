@@ -49,6 +49,20 @@ def test_slices_equal_the_stream():
         assert c.decode(c.encode(text)) == text.replace(spm.BLANK, " ")
 
 
+def test_ids_are_those_of_the_model():
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    c = spm.Codec(spm.Vocabulary())
+    texts = ["The committee published its internal report on Wednesday afternoon.", "Über die Straße läuft Klaus' Hund; ¿qué pasa, señor?", "東京都は日本の首都です。" * 20, "  a  b ", "é☃ \n\n tab\tX", "y" * 300, "aGVsbG8gd29ybGQ" * 40, "http://a.b/c?d=1&e=f#g", "def f(x):\n        return x  # note", "<0x0A> </s> <unk>", "\n", " ", ""]
+    for text in [*texts, *(prose(k, 200) for k in range(5))]:
+        assert c.encode(text).tolist() == p.encode(text)
+    assert len(c.encode(texts[0])) == 10
+    stats = {}
+    assert [i for part in spm.stream((spm.BLANK + (prose(1, 5000)).replace(" ", spm.BLANK)), c.v, stats) for i in part] == p.encode(prose(1, 5000))
+    assert stats["held"] < 100  # a long text is never held whole
+
+
 def test_round_trip_of_odd_rows(spark, make, odd):
     docs = make(odd)
     out = spm.encode_documents(docs)
