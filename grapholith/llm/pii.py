@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ _NUMBERS = re.compile(
     r"|(?P<PHONE>(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?!\d|\.\d)|\+\d{8,15}(?!\d))"
 )
 _KEYS = re.compile(r"(?<![A-Za-z0-9_-])(?:(?P<SECRET>[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,100}|gh[pousr]_[A-Za-z0-9]{30,80}|xox[abprs]-[A-Za-z0-9-]{10,80}|eyJ[A-Za-z0-9_-]{20,400}\.[A-Za-z0-9_-]{10,400}(?:\.[A-Za-z0-9_-]{10,200})?)|(?P<IBAN>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?))(?![A-Za-z0-9_])")
-_DIGITS = re.compile(r"[0-9]+(?:[^0-9]{1,40}[0-9]+)*")  # near digits together: numbers and keys lie within _REACH of them
+_DIGITS = re.compile(r"[0-9]+(?:[^0-9]{1,40}[0-9]+)*")  # near digits together: numbers lie within _REACH of them
+_KEY_STARTS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|[spr]k[-_][A-Za-z0-9_-]{16}|gh[pousr]_[A-Za-z0-9]{30}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[A-Za-z0-9_-]{20,}\.|[0-9a-fA-F]{32}|[A-Z]{2}\p{Nd}{2}(?: ?[A-Z0-9]{4}){2}"  # of _KEYS, for Arrow
 _NAMES = re.compile(r"[A-Z][a-zà-ÿ]{2,15} [A-Z][a-zà-ÿ]{2,20}\b")
 _LEFT, _RIGHT = re.compile(r"[\w.+%'-]{1,64}$"), re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 _GIVEN = frozenset("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Nancy Daniel Lisa Matthew Anthony Mark Sandra Paul Andrew Emily Emma Olivia Anna Hans Peter Klaus Jürgen Sabine Monika Stefan Pierre Jean Marie Nathalie Julien Camille Juan José María Carmen Carlos Luis Ana Laura Pedro Miguel".split())
@@ -75,7 +77,7 @@ def _iban(s: str) -> bool:
 
 
 def possible(texts: pa.Array) -> np.ndarray:
-    """Which texts can hold a candidate at all: 1 for an @, 2 for four digits, 4 for a capital after a small letter and a blank."""
+    """Which texts can hold a candidate at all: 1 for an @, 2 for four digits, 4 for a capital after a small letter and a blank, 8 for how a key or an IBAN begins."""
     data, offsets = raw(texts)
     out = np.zeros(len(offsets) - 1, np.uint8)
     for i, j in slices(offsets):
@@ -83,10 +85,10 @@ def possible(texts: pa.Array) -> np.ndarray:
         pair = np.zeros(len(part), bool)
         pair[2:] = _CAPITAL[part[2:]] & (part[1:-1] == 32) & _SMALL[part[:-2]]
         out[i:j] = (per_row(part == 64, at) > 0) + 2 * (per_row((part >= 48) & (part < 58), at) > 3) + 4 * (per_row(pair, at) > 0)
-    return out
+    return out + 8 * pc.match_substring_regex(texts, _KEY_STARTS).fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
 
 
-def candidates(text: str, flags: int = 7) -> Iterator[tuple[str, int, int]]:
+def candidates(text: str, flags: int = 15) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of everything that a labeler could vote for."""
     at = text.find("@") if flags & 1 else -1
     while at >= 0:
@@ -99,11 +101,12 @@ def candidates(text: str, flags: int = 7) -> Iterator[tuple[str, int, int]]:
         if d.end() - d.start() < 4:
             continue
         a, z = max(done, d.start() - _REACH), d.end() + _REACH
-        for p in (_NUMBERS, _KEYS):
-            for m in p.finditer(text, a, z):
-                if m.start() < d.end() and m.end() > d.start():
-                    yield m.lastgroup, m.start(), m.end()
-                    done = max(done, m.end())
+        for m in _NUMBERS.finditer(text, a, z):
+            if m.start() < d.end() and m.end() > d.start():
+                yield m.lastgroup, m.start(), m.end()
+                done = max(done, m.end())
+    for m in _KEYS.finditer(text) if flags & 8 else ():
+        yield m.lastgroup, m.start(), m.end()
     for m in _NAMES.finditer(text) if flags & 4 else ():
         if m.start() and text[m.start() - 1].isalnum():
             continue
@@ -239,7 +242,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[int, float]:
     return dict(zip(codes.tolist(), q.tolist()))
 
 
-def spans(text: str, model: dict[int, float], accept: float = ACCEPT, flags: int = 7) -> list[tuple[str, int, int, float]]:
+def spans(text: str, model: dict[int, float], accept: float = ACCEPT, flags: int = 15) -> list[tuple[str, int, int, float]]:
     """Accepted (kind, start, end, probability), left to right; of overlapping ones the likelier, then longer."""
     found = [(kind, a, z, model.get(pattern(text, kind, a, z), 0.0)) for kind, a, z in candidates(text, flags)]
     taken: list[tuple[str, int, int, float]] = []
