@@ -41,6 +41,7 @@ _NAMES = re.compile(r"[A-Z][a-zà-ÿ]{2,15} [A-Z][a-zà-ÿ]{2,20}\b")
 _LEFT, _RIGHT = re.compile(r"[\w.+%'-]{1,64}$"), re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 _GIVEN = frozenset("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Nancy Daniel Lisa Matthew Anthony Mark Sandra Paul Andrew Emily Emma Olivia Anna Hans Peter Klaus Jürgen Sabine Monika Stefan Pierre Jean Marie Nathalie Julien Camille Juan José María Carmen Carlos Luis Ana Laura Pedro Miguel".split())
 _TITLES = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? ?|\b(?i:name|dear|contact|nombre|nom):? ?)$")
+_TITLE_WORDS = frozenset("Mrs Prof Herr Frau Monsieur Madame Mme Señor Señora Sra Name Dear Contact Nombre Nom".split())  # those of _TITLES that _NAMES can begin with
 _TLDS = frozenset("com org net edu gov mil int info biz io co us uk de fr es it nl eu ch at be pt pl se no dk fi ru cn jp in br au ca mx ar".split())
 _COUNTRY = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 380 420".split())
 _PREFIX = re.compile(r"AKIA|ASIA|sk[-_]|pk[-_]|rk[-_]|gh[pousr]_|xox|eyJ")
@@ -107,11 +108,16 @@ def candidates(text: str, flags: int = 15) -> Iterator[tuple[str, int, int]]:
                 done = max(done, m.end())
     for m in _KEYS.finditer(text) if flags & 8 else ():
         yield m.lastgroup, m.start(), m.end()
-    for m in _NAMES.finditer(text) if flags & 4 else ():
+    m = _NAMES.search(text) if flags & 4 else None
+    while m:
+        first, at = m.group().split(" ")[0], m.end()
         if m.start() and text[m.start() - 1].isalnum():
-            continue
-        if m.group().split(" ")[0] in _GIVEN or _TITLES.search(text, max(0, m.start() - 12), m.start()):
+            at = m.start() + 1
+        elif first not in _TITLE_WORDS and (first in _GIVEN or _TITLES.search(text, max(0, m.start() - 12), m.start())):
             yield "NAME", m.start(), m.end()
+        else:
+            at = m.start() + len(first)  # the second word may begin a name
+        m = _NAMES.search(text, at)
 
 
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:

@@ -232,6 +232,15 @@ def test_keys_need_no_digits_nearby(make):
     assert all(KEYS[k % 2] not in out[k] for k, _ in rows)
 
 
+@pytest.mark.parametrize("before, name", [("Herr", "Klaus Weber"), ("Dear", "Mary Jones"), ("Contact", "James Smith"), ("Prof", "Xaver Huber"), ("Contact Frau", "Monika Adler"), ("Yesterday", "Anna Berg"), ("Am Montag kam Herr Prof", "Xaver Huber")])
+def test_names_after_a_capitalised_word(before, name):
+    for start in ("", "so it was. "):
+        text = f"{start}{before} {name} came home"
+        at = text.index(name)
+        assert list(pii.candidates(text, 4)) == [("NAME", at, at + len(name))]
+    assert list(pii.candidates("the Big Green Apple Tree stood", 4)) == []
+
+
 def test_expectation_maximisation_learns_a_bad_labeler():
     r = np.random.default_rng(5)
     truth = r.random(4000) < 0.5
