@@ -203,15 +203,31 @@ def majority(rows: DataFrame, group: str, value: str) -> DataFrame:
     return ranked.where((F.col("__r") == 1) & F.col(value).isNotNull()).select(group, value, "n", "total")
 
 
+KEY_TYPES = {"Proposal": "goal", "Attested Computation": "runtime entrypoint", "Table": "sql query", "Schema": "schema", "Metric": "metric formula"}
+
+
+def keyed(files: DataFrame) -> DataFrame:
+    """(dir, k): the type that the frontmatter keys of half the files and more suggest, the first by name of equals."""
+    hints = F.array_compact(F.array(*[F.when(F.arrays_overlap("keys", F.array(*map(F.lit, ks.split()))), k) for k, ks in KEY_TYPES.items()]))
+    total = F.count(F.lit(1)).over(Window.partitionBy("dir"))
+    n = files.select("dir", total.alias("total"), hints.alias("h")).select("dir", "total", F.explode("h").alias("k")).groupBy("dir", "total", "k").agg(F.count(F.lit(1)).alias("n"))
+    ranked = n.where(F.col("n") * 2 >= F.col("total")).withColumn("__r", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("n"), "k")))
+    return ranked.where("__r = 1").select("dir", "k")
+
+
 def infer_types(files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """(dir, type, tier, samples) of files (dir, name, authored): authored majority, then file names, then the folder."""
+    """(dir, type, tier, samples) of files (dir, name, authored[, keys]): authored majority, then frontmatter keys, then file names, then the folder.
+
+    ``keys``, if there, is an array of each file's frontmatter keys; null for none.
+    """
     clean = files.withColumn("authored", F.nullif(F.trim("authored"), F.lit(""))).withColumn("named", type_of_file(F.col("name")))
     wrote = majority(clean, "dir", "authored").where(F.col("n") * 2 >= F.col("total")).select("dir", F.col("authored").alias("a"))
     named = majority(clean, "dir", "named").where((F.col("n") * 2 >= F.col("total")) | (F.col("n") >= 2)).select("dir", F.col("named").alias("p"))
     dirs = clean.groupBy("dir").agg(F.slice(F.sort_array(F.collect_set("name")), 1, SAMPLE_FILES).alias("samples"))
     x = dirs.join(wrote, "dir", "left").join(named, "dir", "left")
+    x = x.join(keyed(files), "dir", "left") if "keys" in files.columns else x.withColumn("k", F.lit(None).cast("string"))
     given = F.lit(None).cast("string")
     for d, k in (overrides or {}).items():
         given = F.when(F.col("dir") == d, k).otherwise(given)
-    tier = F.when(given.isNotNull(), "override").when(F.col("a").isNotNull(), "frontmatter").when(F.col("p").isNotNull(), "pattern").otherwise("folder")
-    return x.select("dir", F.coalesce(given, "a", "p", type_of_folder(F.col("dir"))).alias("type"), tier.alias("tier"), "samples")
+    tier = F.when(given.isNotNull(), "override").when(F.col("a").isNotNull() | F.col("k").isNotNull(), "frontmatter").when(F.col("p").isNotNull(), "pattern").otherwise("folder")
+    return x.select("dir", F.coalesce(given, "a", "k", "p", type_of_folder(F.col("dir"))).alias("type"), tier.alias("tier"), "samples")

@@ -130,3 +130,9 @@ def test_infer_types(spark):
     rows = [("d", "a.md", "Table"), ("d", "b.md", "Table"), ("d", "c.md", None), ("e", "adr-1.md", ""), ("e", "adr-2.md", None), ("e", "x.md", None), ("guides", "x.md", None), ("o", "x.md", "Z")]
     got = {r["dir"]: (r["type"], r["tier"]) for r in an.infer_types(spark.createDataFrame(rows, "dir string, name string, authored string"), {"o": "Given"}).collect()}
     assert got == {"d": ("Table", "frontmatter"), "e": ("Decision", "pattern"), "guides": ("Guide", "folder"), "o": ("Given", "override")}
+
+
+def test_infer_types_by_frontmatter_keys(spark):
+    rows = [("p", "adr-1.md", None, ["goal", "title"]), ("p", "adr-2.md", None, None), ("m", "x.md", None, ["formula", "metric"]), ("m", "y.md", None, ["sql"]), ("m", "z.md", None, ["metric"]), ("w", "a.md", "Own", ["schema"]), ("few", "a.md", None, ["goal"]), ("few", "b.md", None, []), ("few", "c.md", None, ["title"]), ("tie", "a.md", "", ["schema", "query"])]
+    got = {r["dir"]: (r["type"], r["tier"]) for r in an.infer_types(spark.createDataFrame(rows, "dir string, name string, authored string, keys array<string>")).collect()}
+    assert got == {"p": ("Proposal", "frontmatter"), "m": ("Metric", "frontmatter"), "w": ("Own", "frontmatter"), "few": ("Few", "folder"), "tie": ("Schema", "frontmatter")}
