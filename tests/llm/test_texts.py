@@ -167,6 +167,20 @@ def test_planted_passages(make, odd):
     assert chaining.passages(make([])).collect() == []
 
 
+def test_parts_of_a_chain_that_matches_too_little(make):
+    one, two = prose(60, 100), prose(61, 100)
+    rows = [(1, f"{one} {two}"), (2, f"{one} {prose(62, 180)} {two}")]
+    one, two = prose(70, 80), prose(71, 80)
+    rows += [(k, f"{prose(80 + k, 20)} {one} {prose(90 + k, 150)} {two} {prose(100 + k, 20)}") for k in (3, 4)]
+    one, two, short = prose(63, 60), prose(64, 60), prose(65, 25)
+    rows += [(5, f"{one} {short} {two}"), (6, f"{one} {prose(66, 60)} {short} {prose(67, 40)} {two}")]
+    found = sorted((r["doc_id"], r["source_id"], r["first_word"], r["end_word"]) for r in chaining.passages(make(rows)).collect())
+    want = [(2, 1, 0, 100), (2, 1, 280, 380), (4, 3, 20, 100), (4, 3, 250, 330), (6, 5, 0, 60), (6, 5, 185, 245)]
+    assert len(found) == len(want)
+    for x, y in zip(found, want):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) <= 6 and abs(x[3] - y[3]) <= 6
+
+
 def test_repeats_are_cut(make, odd):
     docs = make([*odd, (20, prose(6, 40) + " " + prose(1, 120) + ". " + prose(8, 30))])
     out = chaining.without_repeats(docs, chaining.passages(docs))
