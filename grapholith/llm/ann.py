@@ -5,7 +5,8 @@ root of a chi-square variable in ``DIMS`` projected dimensions. A kd-tree orders
 projected points; its leaves are verified from the nearest on, and a query stops
 when the next leaf lies so far that a point within its present k-th distance
 would have been met before with probability ``SURE``. The upper levels of the tree are
-the cells of :mod:`.cells`, the lower ones are built in each task.
+the cells of :mod:`.cells`, visited in waves with the same test between them; the lower ones
+are built in each task.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def features(x: np.ndarray) -> np.ndarray:
     return x @ directions(x.shape[1])
 
 
-def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, radius: np.ndarray | None, k: int, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, radius: np.ndarray, k: int, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, distance) of the k nearest verified points of each query, within its radius."""
     reach = quantile(sure, DIMS)
     f, g = features(x), features(q)
@@ -57,9 +58,7 @@ def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rad
     low = np.minimum.reduceat(f[order], starts, axis=0)
     high = np.maximum.reduceat(f[order], starts, axis=0)
     n = len(q)
-    best = np.full((n, k), np.inf if radius is None else 0.0)
-    if radius is not None:
-        best[:] = (radius[:, None] + 1e-5) ** 2
+    best = np.repeat((radius[:, None] + 1e-5) ** 2, k, 1)
     who = np.full((n, k), -1, np.int64)
     for i in range(0, n, 8192):
         j = min(n, i + 8192)
@@ -94,8 +93,10 @@ def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rad
     return rows, ids[at], exact(q, rows, x, at)
 
 
-def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): k near others of every row; each true one is there with probability 0.95.
+def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, queries: DataFrame | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): for each query k near rows of another id; each true one is there with probability 0.95.
+
+    ``queries`` has the columns of ``df``; without it, all rows are queries.
 
     Distances are exact, rounded to six decimals; equal ones rank by id. Rows whose
     id is null or whose vector is null, empty or not finite take no part; of rows
@@ -103,4 +104,4 @@ def neighbours(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: st
     compared. Where there are fewer than k others, all are told; an empty table gives
     no rows; other columns are left behind.
     """
-    return nearest(df, k, features, kernel, float(np.sqrt(quantile(SURE, DIMS))), id_col, vector_col, cell)
+    return nearest(df, k, features, kernel, float(np.sqrt(quantile(SURE, DIMS))), id_col, vector_col, cell, queries)

@@ -1,14 +1,16 @@
-"""Nearest neighbours of every row, cell by cell: the frame that exact and approximate search share.
+"""Nearest neighbours of a stated set of queries, cell by cell: the frame that exact and approximate search share.
 
 1. Vectors get a few features whose distance bounds that of the vectors (or does so with
    known probability). A kd-tree over the features of a bounded sample cuts the
    space into cells; it only shapes the layout, never the result. Cells of many equal
    features are split by hash.
-2. Every row searches its own cell, which gives it a radius.
-3. It visits the other cells whose box lies within the radius; cells with many visitors
-   are searched in several tasks. The lists of a row are merged.
+2. Queries visit the cells in waves, the nearest boxes first: one cell, then 3, 12, 48 more
+   and so on. After each wave the lists of a query are merged and its radius shrinks to
+   its present k-th distance; it stops when the next box lies beyond the radius.
+3. Cells of many rows are searched in parts and cells of many visitors in several tasks,
+   so a task holds ``2 * CELL`` rows and ``VISITORS`` queries at most.
 
-Cells are at most ``MOST_CELLS``: what the driver holds and sends is 20 MB at any size.
+The tree has at most ``MOST_CELLS`` leaves: what the driver holds and sends is 20 MB at any size.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 CELL, MOST_CELLS, SAMPLE, VISITORS = 4096, 65_536, 20_000, 40_000
+WIDEST = 4096  # boxes of a query in one wave; the next ones come in the waves after
+_NUMBER = (1 << 18) - 1
 DIGITS = 6  # distances are rounded to so many decimals; equal ones rank by id
 
 Features = Callable[[np.ndarray], np.ndarray]
@@ -121,102 +125,91 @@ def lists(qi: np.ndarray, ids: np.ndarray, dist: np.ndarray, n: int, k: int) ->
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
 
 
-def _home(kernel: Kernel, k: int):
-    def run(t: pa.Table) -> pa.Table:
-        ids, dim = t["id"].to_numpy(), t["dim"][0].as_py()
-        x = _matrix(t["v"], dim)
-        qi, nn, dist = kernel(ids, x, ids, x, None, k)
-        got = lists(qi, nn, dist, len(ids), k)
-        last, n = got.offsets.to_numpy()[1:], got.value_lengths().to_numpy()
-        d = got.values.field("distance").to_numpy()
-        radius = np.where(n >= k, d[np.maximum(last - 1, 0)] if len(d) else 0.0, np.inf)
-        return pa.table([t["id"], t["dim"], t["v"], t["f"], t["cell"], t["part"], pa.array(radius), got], ["id", "dim", "v", "f", "cell", "part", "radius", "nn"])
-
-    return run
-
-
 class Boxes:
-    """Cells by dimension, with their bounds and their number of parts."""
+    """Cells by dimension with their bounds, and the number of parts of each."""
 
     def __init__(self, rows: list, factor: float, most: int):
         self.factor, self.by = factor, {}
         for dim in {r["dim"] for r in rows}:
             own = sorted((r for r in rows if r["dim"] == dim), key=lambda r: r["cell"])
-            self.by[dim] = (np.array([r["cell"] for r in own]), *(np.stack([np.frombuffer(r[c], np.float64) for r in own]) for c in ("low", "high")), np.array([-(-r["n"] // most) for r in own]))
-
-    def visits(self, b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, cells, parts) of a batch of home results that must be searched besides."""
-        dims, cell, part, radius = (b.column(k).to_numpy() for k in (1, 4, 5, 6))
+            self.by[dim] = (np.array([r["cell"] for r in own]), *(np.stack([np.frombuffer(r[c], np.float64) for r in own]) for c in ("low", "high")))
+        self.parts = np.zeros(max((r["cell"] for r in rows), default=-1) + 1, np.int64)
+        for r in rows:
+            self.parts[r["cell"]] = -(-r["n"] // most)
+        self.largest = max((len(c) for c, _, _ in self.by.values()), default=0)
+
+    def visits(self, b: pa.RecordBatch, radius: np.ndarray, start: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cells): the boxes number ``start`` to ``stop`` of each query (id, dim, v, f), the nearest first, that lie within its radius."""
+        dims = b.column(1).to_numpy()
         for dim in np.unique(dims):
-            own = np.flatnonzero(dims == dim)
-            cells, low, high, n = self.by[int(dim)]
+            cells, low, high = self.by.get(int(dim), (np.zeros(0, np.int64), None, None))
+            own, m = np.flatnonzero(dims == dim), min(stop, len(cells))
+            if start >= m:
+                continue
             f = np.stack([np.frombuffer(b.column(3)[int(r)].as_py(), np.float64) for r in own])
-            for i in range(0, len(own), max(1, 2_000_000 // len(cells))):
-                rows = own[i : i + max(1, 2_000_000 // len(cells))]
+            size = max(1, 2_000_000 // len(cells))
+            for i in range(0, len(own), size):
+                rows = own[i : i + size]
                 gap = np.zeros((len(rows), len(cells)))
-                for m in range(f.shape[1]):
-                    y = f[i : i + len(rows), m : m + 1]
-                    gap += np.maximum(np.maximum(low[:, m] - y, y - high[:, m]), 0) ** 2
-                r, c = np.nonzero(np.sqrt(gap) <= (self.factor * (radius[rows, None] + 2 * 10.0**-DIGITS)) * (1 + 1e-9))
-                times = n[c]
-                r, c = np.repeat(rows[r], times), np.repeat(c, times)
-                p = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                other = (cells[c] != cell[r]) | (p != part[r])
-                yield r[other], cells[c[other]], p[other]
-
-
-def nearest(df: DataFrame, k: int, features: Features, kernel: Kernel, factor: float, id_col: str, vector_col: str, cell: int = CELL) -> DataFrame:
-    """(id_col, rank, neighbor_id, distance): for each row its k nearest others of the same length."""
-    spark = df.sparkSession
-    scratch.small_batches(spark, 2000)
-    rows = scratch.table(vectors(df, id_col, vector_col), "vectors")
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    each = max(cell, total // MOST_CELLS + 1)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).mapInArrow(_placed(features, None), "id bigint, dim int, v binary, f binary").select("dim", "f").collect()
-    trees, first = {}, 0
-    for dim, n in sorted(sizes.items()):
-        f = [np.frombuffer(r["f"], np.float64) for r in picked if r["dim"] == dim]
-        depth = max(0, int(np.ceil(np.log2(n / each))))
-        tree = kd_splits(np.stack(f), depth) if f and depth else (np.zeros(0, np.int64), np.zeros(0))
-        trees[dim] = (first, tree)
-        first += len(tree[0]) + 1
-    placed = scratch.table(rows.mapInArrow(_placed(features, trees), "id bigint, dim int, v binary, f binary, cell int"), "placed")
-    schema = "cell int, dim int, n bigint, low binary, high binary"
-    boxes = Boxes(placed.mapInArrow(_boxes_of_batch, schema).groupBy("cell").applyInArrow(_merged_boxes, schema).collect(), factor, 2 * each)
-    several = {int(c): int(p) for cells, _, _, ps in boxes.by.values() for c, p in zip(cells, ps) if p > 1}
-    part = F.lit(0)
-    if several:
-        table = spark.createDataFrame(list(several.items()), "big int, parts int")  # cells of equal features alone: MOST_CELLS at most
-        placed = placed.join(table, F.col("cell") == F.col("big"), "left")
-        part = F.expr("case when parts is null then 0 else cast(pmod(xxhash64(id), parts) as int) end")
-    placed = placed.select("id", "dim", "v", "f", "cell", part.alias("part"))
-    home = scratch.table(placed.groupBy("cell", "part").applyInArrow(_home(kernel, k), f"id bigint, dim int, v binary, f binary, cell int, part int, radius double, nn {_NN}"), "home")
+                for k in range(f.shape[1]):
+                    y = f[i : i + size, k : k + 1]
+                    gap += np.maximum(np.maximum(low[:, k] - y, y - high[:, k]), 0) ** 2
+                key = gap.view(np.int64) & ~_NUMBER | np.arange(len(cells))  # at most the gap, and no two are equal: all waves see one order
+                if m < len(cells):
+                    key = np.partition(key, m - 1, axis=1)[:, :m]
+                key = np.sort(key, axis=1)[:, start:]
+                limit = self.factor * (radius[rows, None] + 2 * 10.0**-DIGITS) * (1 + 1e-9)
+                r, c = np.nonzero(np.sqrt((key & ~_NUMBER).view(np.float64)) <= limit)
+                yield rows[r], cells[key[r, c] & _NUMBER]
+
+
+def radii(nn: pa.Array, k: int) -> np.ndarray:
+    """The k-th distance of each list; infinite where there are fewer."""
+    nn = nn.combine_chunks() if isinstance(nn, pa.ChunkedArray) else nn
+    out = np.full(len(nn), np.inf)
+    full = nn.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) >= k
+    if full.any():
+        out[full] = nn.values.field("distance").to_numpy()[nn.offsets.to_numpy()[1:][full] - 1]
+    return out
+
+
+def _repeated(cell: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each of ``times`` copies of the rows."""
+    r = np.repeat(np.arange(len(cell)), times)
+    return r, np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _wave(state: DataFrame, placed: DataFrame, boxes: Boxes, kernel: Kernel, k: int, start: int, stop: int) -> DataFrame | None:
+    """The queries' lists after visits to boxes ``start`` to ``stop``; None when no query has one to visit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, c, p in boxes.visits(b):
-                key, n = np.unique(c.astype(np.int64) << 32 | p, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            for _, c in boxes.visits(b, radii(b.column(4), k), start, stop):
+                cell, n = np.unique(c, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
-    counts = home.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > VISITORS).collect()
-    subs = {r["key"]: -(-r["n"] // VISITORS) for r in counts}
+    subs = np.zeros(len(boxes.parts), np.int64)  # tasks that share the visitors of a cell
+    for r in state.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        subs[r["cell"]] = -(-r["n"] // VISITORS)
+    if not subs.any():
+        return None
+    names = ["cell", "part", "sub", "guest", "id", "dim", "v", "radius"]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for r, c, p in boxes.visits(b):
-                if len(r):
-                    sub = np.array([subs.get(x, 1) for x in (c.astype(np.int64) << 32 | p).tolist()])
-                    at = pa.array(r)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array((ids[r] % sub).astype(np.int32)), pa.array(np.ones(len(r), bool)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), b.column(6).take(at)], ["cell", "part", "sub", "guest", "id", "dim", "v", "radius"])
+            radius, ids = radii(b.column(4), k), b.column(0).to_numpy()
+            for r, c in boxes.visits(b, radius, start, stop):
+                n, part = _repeated(c, boxes.parts[c])
+                r, c = r[n], c[n]
+                at = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array((ids[r] % subs[c]).astype(np.int32)), pa.array(np.ones(len(r), bool)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(radius[r])], names)
 
     def host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.array([subs.get(x, 1) for x in (b.column(4).to_numpy().astype(np.int64) << 32 | b.column(5).to_numpy()).tolist()])
-            r = np.repeat(np.arange(len(n)), n)
-            at, sub = pa.array(r), np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([b.column(4).take(at), b.column(5).take(at), pa.array(sub.astype(np.int32)), pa.array(np.zeros(len(r), bool)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.zeros(len(r)))], ["cell", "part", "sub", "guest", "id", "dim", "v", "radius"])
+            cell, part = b.column(3).to_numpy(), b.column(4).to_numpy()
+            r, sub = _repeated(cell, subs[cell])
+            at = pa.array(r)
+            yield pa.RecordBatch.from_arrays([b.column(3).take(at), pa.array((part[r] % boxes.parts[cell[r]]).astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(np.zeros(len(r), bool)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.zeros(len(r)))], names)
 
     def search(t: pa.Table) -> pa.Table:
         guest = t["guest"].to_numpy()
@@ -229,7 +222,40 @@ def nearest(df: DataFrame, k: int, features: Features, kernel: Kernel, factor: f
         return pa.table([pa.array(ids).take(some), got.take(some)], ["id", "nn"])
 
     schema = "cell int, part int, sub int, guest boolean, id bigint, dim int, v binary, radius double"
-    met = home.mapInArrow(visit, schema).unionByName(home.mapInArrow(host, schema))
-    more = met.groupBy("cell", "part", "sub").applyInArrow(search, f"id bigint, nn {_NN}")
-    every = home.select("id", "nn").unionByName(more).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, k).alias("nn"))
-    return every.select(F.col("id").alias(id_col), F.posexplode("nn").alias("at", "x")).select(id_col, (F.col("at") + 1).alias("rank"), "x.neighbor_id", "x.distance")
+    hosts = placed.select("id", "dim", "v", "cell", F.expr("pmod(xxhash64(id), 2147483647)").alias("part"))
+    met = state.mapInArrow(visit, schema).unionByName(hosts.mapInArrow(host, schema))
+    found = met.groupBy("cell", "part", "sub").applyInArrow(search, f"id bigint, nn {_NN}")
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("dim", "int"), ("v", "binary"), ("f", "binary"))]
+    merged = state.unionByName(found.select("id", *nothing, "nn")).groupBy("id")
+    return merged.agg(F.max("dim").alias("dim"), F.max("v").alias("v"), F.max("f").alias("f"), F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, k).alias("nn"))
+
+
+def nearest(df: DataFrame, k: int, features: Features, kernel: Kernel, factor: float, id_col: str, vector_col: str, cell: int = CELL, queries: DataFrame | None = None) -> DataFrame:
+    """(id_col, rank, neighbor_id, distance): for each query, or each row without ``queries``, its k nearest rows of the same length and another id."""
+    spark = df.sparkSession
+    scratch.small_batches(spark, 2000)
+    rows = scratch.table(vectors(df, id_col, vector_col), "vectors")
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(cell, sum(sizes.values()) // MOST_CELLS + 1)
+    plain = "id bigint, dim int, v binary, f binary"
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).mapInArrow(_placed(features, None), plain).select("dim", "f").collect()
+    trees, first = {}, 0
+    for dim, n in sorted(sizes.items()):
+        f = [np.frombuffer(r["f"], np.float64) for r in picked if r["dim"] == dim]
+        depth = max(0, int(np.ceil(np.log2(n / each))))
+        tree = kd_splits(np.stack(f), depth) if f and depth else (np.zeros(0, np.int64), np.zeros(0))
+        trees[dim] = (first, tree)
+        first += len(tree[0]) + 1
+    placed = scratch.table(rows.mapInArrow(_placed(features, trees), f"{plain}, cell int"), "placed")
+    schema = "cell int, dim int, n bigint, low binary, high binary"
+    boxes = Boxes(placed.mapInArrow(_boxes_of_batch, schema).groupBy("cell").applyInArrow(_merged_boxes, schema).collect(), factor, 2 * cell)
+    asked = rows if queries is None else vectors(queries, id_col, vector_col)
+    state = asked.mapInArrow(_placed(features, None), plain).withColumn("nn", F.lit(None).cast(_NN))
+    start, stop = 0, 1
+    while True:
+        state = scratch.table(state, "queries")
+        if (after := _wave(state, placed, boxes, kernel, k, start, stop)) is None:
+            break
+        state, start, stop = after, stop, min(4 * stop, stop + WIDEST)
+    every = state.select(F.col("id").alias(id_col), F.posexplode("nn").alias("at", "x"))
+    return every.select(id_col, (F.col("at") + 1).alias("rank"), "x.neighbor_id", "x.distance")

@@ -47,52 +47,47 @@ def exact(q: np.ndarray, rows: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.
     return out
 
 
-def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, radius: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, distance) of all pairs that can be among a query's k nearest; without a radius, seeds give one."""
-    stats = [statistics(x, s) for s in LEVELS if s == 1 or s <= x.shape[1]]
+def kernel(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, radius: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, distance) of all pairs that can be among a query's k nearest; where the radius is infinite, seeds give one."""
+    levels = [s for s in LEVELS if s == 1 or s <= x.shape[1]]
+    stats, own = ([statistics(y, s) for s in levels] for y in (x, q))
     error = 1e-9 * float((x**2).sum(1).max(initial=0)) + 1e-12  # of sums by products
+    slack = error + 1e-9 * (q**2).sum(1)
+    by = np.argsort(own[0][:, 0], kind="stable")  # queries of one block need about the same rows
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(0, len(q), _ROWS):
-        part, mine = q[i : i + _ROWS], q_ids[i : i + _ROWS]
-        own = [statistics(part, s) for s in LEVELS if s == 1 or s <= x.shape[1]]
-        slack = error + 1e-9 * (part**2).sum(1)
-        if radius is None:
-            r = np.full(len(part), np.inf)
-            if len(ids) > k:
-                bound = _squares(own[-1], stats[-1])
-                bound[mine[:, None] == ids] = np.inf
-                seeds = np.argpartition(bound, k - 1, axis=1)[:, :k]
-                d = exact(part, np.repeat(np.arange(len(part)), k), x, seeds.ravel()).reshape(-1, k)
-                r = np.where(np.isfinite(np.take_along_axis(bound, seeds, 1)).all(1), d.max(1), np.inf)
-        else:
-            r = radius[i : i + _ROWS]
-        limit = ((r + 2 * 10.0**-DIGITS) ** 2 + slack)[:, None]
-        cols, alive = np.arange(len(ids)), None
+        block = by[i : i + _ROWS]
+        r = radius[block].copy()
+        if (blank := np.flatnonzero(np.isinf(r))).size and len(ids) > k:
+            bound = _squares(own[-1][block[blank]], stats[-1])
+            bound[q_ids[block[blank], None] == ids] = np.inf
+            seeds = np.argpartition(bound, k - 1, axis=1)[:, :k]
+            d = exact(q[block[blank]], np.repeat(np.arange(len(blank)), k), x, seeds.ravel()).reshape(-1, k)
+            r[blank] = np.where(np.isfinite(np.take_along_axis(bound, seeds, 1)).all(1), d.max(1), np.inf)
+        limit = ((r + 2 * 10.0**-DIGITS) ** 2 + slack[block])[:, None]
+        cols, alive = np.arange(len(ids)), np.ones((len(block), len(ids)), bool)
         for a, b in zip(own, stats):
-            level = _squares(a, b[cols]) <= limit
-            alive = level if alive is None else alive & level
+            alive &= _squares(a[block], b[cols]) <= limit
             some = alive.any(0)
             cols, alive = cols[some], alive[:, some]
-            if not len(cols):
-                break
-        if not len(cols):
-            continue
-        d = np.where(alive, _squares(part, x[cols]), np.inf)
-        if len(cols) > k + 1:  # the k nearest here, and the row itself, narrow the limit
-            kth = np.partition(d, k, axis=1)[:, k]
-            limit = np.minimum(limit, ((np.sqrt(kth) + 2 * 10.0**-DIGITS) ** 2 + slack)[:, None])
-        rows, at = np.nonzero((d <= limit) & np.isfinite(d))
-        at = cols[at]
-        other = mine[rows] != ids[at]
+        rows, at = np.nonzero(alive)
+        if len(rows) > alive.size // 8:  # most pairs survive: their distances come from one product, and the k nearest narrow the limit
+            d = np.where(alive, _squares(q[block], x[cols]), np.inf)
+            if len(cols) > k + 1:
+                kth = np.partition(d, k, axis=1)[:, k]
+                limit = np.minimum(limit, ((np.sqrt(kth) + 2 * 10.0**-DIGITS) ** 2 + slack[block])[:, None])
+            rows, at = np.nonzero((d <= limit) & np.isfinite(d))
+        rows, at = block[rows], cols[at]
+        other = q_ids[rows] != ids[at]
         rows, at = rows[other], at[other]
-        found.append((rows + i, ids[at], exact(part, rows, x, at)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found.append((rows, ids[at], exact(q, rows, x, at)))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest others of every row, exactly.
+def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, queries: DataFrame | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): for each query its k nearest rows of another id, exactly.
+
+    ``queries`` has the columns of ``df``; without it, all rows are queries.
 
     Euclidean distances, rounded to six decimals; equal ones rank by id. Rows whose
     id is null or whose vector is null, empty or not finite take no part; of rows
@@ -100,4 +95,4 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "
     compared. Where there are fewer than k others, all are told; an empty table gives
     no rows; other columns are left behind.
     """
-    return nearest(df, k, features, kernel, 1.0, id_col, vector_col, cell)
+    return nearest(df, k, features, kernel, 1.0, id_col, vector_col, cell, queries)

@@ -43,6 +43,26 @@ def test_odd_rows(spark, search):
     assert search(table(spark, []), k=3).collect() == []
 
 
+@pytest.mark.parametrize("search", [topk.top_k, ann.neighbours])
+def test_queries_against_all_rows(spark, search):
+    """Waves over many small cells, hot equal rows among them, against brute force."""
+    r = np.random.default_rng(3)
+    x = (3 * r.standard_normal((20, 16))[r.integers(0, 20, 900)] + 0.5 * r.standard_normal((900, 16))).astype(np.float32).astype(float)
+    x[300:600] = x[300]
+    all_ = table(spark, rows_of(x))
+    got = search(all_, k=4, cell=8, queries=all_.where("vec_id % 50 = 0")).toPandas().sort_values(["vec_id", "rank"])
+    ids, dist = brute(x, 4)
+    asked = np.arange(0, 900, 50)
+    assert got["vec_id"].tolist() == np.repeat(asked, 4).tolist()
+    if search is topk.top_k:
+        assert (got["neighbor_id"].to_numpy().reshape(-1, 4) == ids[asked]).all() and np.allclose(got["distance"].to_numpy().reshape(-1, 4), dist[asked])
+    else:
+        assert np.mean(got["distance"].to_numpy().reshape(-1, 4) <= dist[asked] + 1e-6) >= 0.9
+    assert search(all_, k=4, queries=all_.where("vec_id < 0")).collect() == []
+    stranger = search(all_, k=2, queries=table(spark, [(-7, [0.0] * 16, 0, 1, "v", 2, 3), (-8, [0.0] * 3, 0, 1, "v", 2, 3)])).collect()
+    assert [(r["vec_id"], r["rank"]) for r in stranger] == [(-7, 1), (-7, 2)]
+
+
 def test_equal_vectors_split_a_cell(spark):
     x = np.zeros((300, 4))
     got = topk.top_k(table(spark, rows_of(x)), k=2, cell=16).toPandas()
