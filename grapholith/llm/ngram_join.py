@@ -13,7 +13,11 @@
    pairs that cannot reach t.
 5. Each tree is walked once for all its probes together: the overlap of a path is
    shared by all sets below it, and a subtree is left when no probe can still
-   reach its bound with the grams that remain.
+   reach its bound with the grams that remain. Trees of many sets or visitors are walked
+   in blocks of both.
+6. A walk counts its links and joins what they tie (union of labels), so that a task
+   hands on a number a set and a forest, not its pairs: a group of thousands of near
+   copies costs thousands of rows. Stars over the forests give the classes.
 
 Grams are told apart by 48 bits within their bucket (57 and more in all).
 """
@@ -34,7 +38,8 @@ from .words import bounds, grams, hashes, mix, pack48, raw, slices, unpack48
 N, T = 5, 0.5
 _U = np.uint64
 _PAIRS = 300_000  # pairs that are judged at once
-_TREE = 3000  # sets of one tree that are walked in one task; more are split into blocks, all visited
+_TREE, _PROBES = 3000, 9000  # sets and visitors of one tree that are walked in one task; more are split into blocks, each met by each
+_HOT = 400  # holders of a gram from which whole trees are judged, not pairs
 
 
 def need(a, b, t: float):
@@ -209,8 +214,8 @@ def _emit_prefixes(t: float, n_buckets: int):
     return run
 
 
-def _visits(t_: float):
-    """(tree, doc_id): sets that must be probed in the tree of a smaller id."""
+def _visits(t_: float, hot: int):
+    """(tree, no): sets that must be probed in the tree of a smaller number."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, tree, total, base, of = [], [], [], 0, []
@@ -240,28 +245,41 @@ def _visits(t_: float):
             if ok.any():
                 found.append(np.unique(np.stack([tree[x[ok]], ids[y[ok]]], 1), axis=0))
 
+        def judge_trees(h: int, size: int) -> None:
+            """All sets of a hot gram against its trees: a visit too many finds no pair twice, as a pair meets in one tree alone."""
+            x = of[h : h + size]
+            names, back = np.unique(tree[x], return_inverse=True)
+            by = np.argsort(back, kind="stable")
+            cuts = np.searchsorted(back[by], np.arange(len(names)))
+            least, low, high = ids[x[by[cuts]]], np.minimum.reduceat(total[x[by]], cuts), np.maximum.reduceat(total[x[by]], cuts)
+            most = total[x] - at[h : h + size]
+            for k in range(len(names)):
+                ok = (back != k) & (ids[x] > least[k]) & (np.minimum(high[k], most) >= need(low[k], total[x], t_))
+                found.append(np.stack([np.full(int(ok.sum()), names[k]), ids[x[ok]]], 1))
+                if len(found) > 256:
+                    found[:] = [np.unique(np.concatenate(found), axis=0)]
+
         for size in np.unique(runs[mixed & (runs > 1)]):
             heads = firsts[mixed & (runs == size)]
-            i, j = np.triu_indices(size, 1) if size <= 1500 else (None, None)
-            if i is not None:
-                step = max(1, _PAIRS // len(i))
-                for k in range(0, len(heads), step):
-                    h = heads[k : k + step, None]
-                    judge((h + i).ravel(), (h + j).ravel())
-            else:
+            if size > hot:
                 for h in heads:
-                    for i in range(size - 1):
-                        judge(np.full(size - 1 - i, h + i), np.arange(h + i + 1, h + size))
-            if len(found) > 64:
-                found = [np.unique(np.concatenate(found), axis=0)]
+                    judge_trees(int(h), int(size))
+                continue
+            i, j = np.triu_indices(size, 1)
+            step = max(1, _PAIRS // len(i))
+            for k in range(0, len(heads), step):
+                h = heads[k : k + step, None]
+                judge((h + i).ravel(), (h + j).ravel())
+                if len(found) > 64:
+                    found[:] = [np.unique(np.concatenate(found), axis=0)]
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["tree", "doc_id"])
+        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["tree", "no"])
 
     return run
 
 
-def walk(owners: list[tuple[int, int, np.ndarray]], probes: list[tuple[int, int, np.ndarray]], t: float) -> list[tuple[int, int, float]]:
-    """Pairs (owner, probe, Jaccard) with owner id < probe id, by one walk over the owners' prefix tree."""
+def walk(owners: list[tuple[int, int, np.ndarray]], probes: list[tuple[int, int, np.ndarray]], t: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(owner, probes, Jaccards) of the pairs with owner number < probe number, by one walk over the owners' prefix tree."""
     all_ = np.concatenate([s for _, _, s in probes])
     names, local = np.unique(all_, return_inverse=True)
     frequency = np.bincount(local, minlength=len(names))
@@ -274,10 +292,17 @@ def walk(owners: list[tuple[int, int, np.ndarray]], probes: list[tuple[int, int,
     pid = np.array([i for i, _, _ in probes])
     size = np.array([n for _, n, _ in probes], np.int64)
     shared = np.array([len(s) for _, _, s in probes], np.int64)
-    paths = sorted(((np.sort(rank[np.searchsorted(names, s)]), i, n) for i, n, s in owners), key=lambda x: (x[0].tolist(), x[1]))
-    out: list[tuple[int, int, float]] = []
+
+    def path(grams_: np.ndarray) -> np.ndarray:
+        """Ranks in order; grams of no probe, which match nothing, last."""
+        at = np.minimum(np.searchsorted(names, grams_), len(names) - 1)
+        known = names[at] == grams_
+        return np.r_[np.sort(rank[at[known]]), np.sort(grams_[~known].astype(np.int64) + len(names))]
+
+    paths = sorted(((path(s), i, n) for i, n, s in owners), key=lambda x: (x[0].tolist(), x[1]))
 
     def add(overlap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        tokens = tokens[tokens < len(names)]
         if not len(tokens):
             return overlap
         hits = np.concatenate([posts[cuts[k] : cuts[k + 1]] for k in tokens])
@@ -299,8 +324,9 @@ def walk(owners: list[tuple[int, int, np.ndarray]], probes: list[tuple[int, int,
         k = lo
         while k < hi and len(paths[k][0]) == to:  # sets that end here
             _, i, n = paths[k]
-            for p in np.flatnonzero((overlap >= need(size, n, t)) & (pid > i)):
-                out.append((i, int(pid[p]), float(overlap[p] / (n + size[p] - overlap[p]))))
+            hit = np.flatnonzero((overlap >= need(size, n, t)) & (pid > i))
+            if len(hit):
+                yield i, pid[hit], overlap[hit] / (n + size[hit] - overlap[hit])
             k += 1
         while k < hi:
             tok, z = paths[k][0][to], k + 1
@@ -308,55 +334,100 @@ def walk(owners: list[tuple[int, int, np.ndarray]], probes: list[tuple[int, int,
                 z += 1
             stack.append((k, z, to, overlap))
             k = z
-    return out
+
+
+class Links:
+    """Numbers of links and connected groups of the sets of one task."""
+
+    def __init__(self, numbers: np.ndarray, copies: np.ndarray):
+        self.order = np.argsort(numbers)
+        self.numbers, self.copies = numbers[self.order], copies[self.order]
+        self.count, self.group = np.zeros(len(numbers), np.int64), np.arange(len(numbers))
+
+    def add(self, one: int, others: np.ndarray) -> None:
+        i, j = int(np.searchsorted(self.numbers, one)), np.searchsorted(self.numbers, others)
+        self.count[j] += self.copies[i]
+        self.count[i] += self.copies[j].sum()
+        own = self.group[i]
+        met = self.group[j]
+        if len(met := met[met != own]):
+            met = np.unique(np.r_[met, own])
+            self.group[np.isin(self.group, met)] = met[0]
 
 
 def _trees(t_: float):
+    """(a, no, b, links): a set's number of links, or (b) an edge of the forest of representatives' ids."""
+
     def run(t: pa.Table) -> pa.Table:
-        trees: dict[tuple[int, int], tuple[dict, dict]] = {}
-        for r, s, own, i, n, g in zip(*(t[x].to_pylist() for x in ("tree", "sub", "own", "doc_id", "total", "grams"))):
-            o, p = trees.setdefault((r, s), ({}, {}))
-            p[i] = x = (i, n, np.frombuffer(g, np.uint64))
-            if own:
-                o[i] = x
-        rows = [x for o, p in trees.values() if o and len(p) > 1 for x in walk(list(o.values()), list(p.values()), t_)]
-        a, b, j = zip(*rows) if rows else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["doc_a", "doc_b", "jaccard"])
+        trees: dict[tuple[int, int, int], list[tuple]] = {}
+        for r, i, j, *row in zip(*(t[x].to_pylist() for x in ("tree", "ob", "pb", "owner", "probe", "no", "rep", "copies", "total", "grams"))):
+            trees.setdefault((r, i, j), []).append(row)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for rows in trees.values():
+            owners, probes = ([(no, n, np.frombuffer(g, np.uint64)) for *flags, no, _, _, n, g in rows if flags[k]] for k in (0, 1))
+            if not owners or not probes:
+                continue
+            links, rep = Links(*(np.array([r[k] for r in rows], np.int64) for k in (2, 4))), np.array([r[3] for r in rows], np.int64)
+            for one, others, _ in walk(owners, probes, t_):
+                links.add(one, others)
+            rep, some, tied = rep[links.order], np.flatnonzero(links.count), np.flatnonzero(links.group != np.arange(len(rep)))
+            for c, x in zip(out, (rep[some], links.numbers[some], np.full(len(some), -1), links.count[some])):
+                c.append(x)
+            for c, x in zip(out, (rep[links.group[tied]], links.numbers[tied], rep[tied], np.full(len(tied), -1))):
+                c.append(x)
+        a, no, b, n = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
+        return pa.table([pa.array(a), pa.array(no), pa.array(b, mask=n >= 0), pa.array(n, mask=n < 0)], ["a", "no", "b", "links"])
 
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard, same_set): the whole self-join, equal sets told once.
-
-    ``same_set`` rows tie each document to the smallest id with the same n-gram
-    set (Jaccard 1); the other rows are all pairs of such smallest ids with
-    Jaccard of at least ``t``. x and y match exactly if their smallest ids are equal or
-    such a pair, so thousands of copies take thousands of rows, not millions.
-
-    A text of fewer than n words, but one at least, has one gram of all its words; a
-    text without words, a null text or a null id matches nothing. Rows of the same id
-    are one document only where their texts have the same grams; a document never
-    pairs with itself. Other columns are left behind.
-    """
+def _linked(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, class_id, links) of the documents that can have a partner."""
     sets = scratch.table(gram_sets(docs, n, t, id_col, text_col), "sets")
     key = ["total", "f1", "f2"]
-    classes = sets.groupBy(key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = sets.join(classes.where("copies > 1"), key).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("same_set")).distinct()
-    reps = scratch.table(sets.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).dropDuplicates([*key, "doc_id"]).select("doc_id", "total", "lone", "tree", "grams"), "reps")
+    members = sets.select("doc_id", *key).distinct()
+    equal = members.groupBy(key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    one = sets.join(equal.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates([*key, "doc_id"])
+    reps = scratch.table(one.select(F.monotonically_increasing_id().alias("no"), F.col("doc_id").alias("rep"), "copies", *key, "lone", "tree", "grams"), "reps")
     scratch.small_batches(docs.sparkSession, 2000)
     b = scratch.buckets(reps, 2_000_000)
-    prefixes = reps.mapInArrow(_emit_prefixes(t, b), "bucket int, ids binary, trees binary, totals binary, of binary, grams binary, before binary, at binary")
-    visits = prefixes.groupBy("bucket").applyInArrow(_without("bucket", _visits(t)), "tree bigint, doc_id bigint").distinct()
-    own = reps.select("tree", F.lit(True).alias("own"), "doc_id", "total", "grams")
-    blocks = reps.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / _TREE).cast("int").alias("subs"))
-    guests = visits.join(reps.drop("tree", "lone"), "doc_id").select("tree", F.lit(False).alias("own"), "doc_id", "total", "grams")
-    every = own.unionByName(guests).join(blocks, "tree")
-    home = F.expr("own and pmod(hash(doc_id), subs) = sub")
-    placed = every.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("own", home).drop("subs")
+    prefixes = reps.select("no", "total", "lone", "tree", "grams").mapInArrow(_emit_prefixes(t, b), "bucket int, ids binary, trees binary, totals binary, of binary, grams binary, before binary, at binary")
+    visits = scratch.table(prefixes.groupBy("bucket").applyInArrow(_without("bucket", _visits(t, _HOT)), "tree bigint, no bigint").distinct(), "visits")
+    rows = ["no", "rep", "copies", "total", "grams"]
+    own = reps.select("tree", F.lit(True).alias("own"), *rows)
+    guests = visits.join(reps.select(*rows), "no").select("tree", F.lit(False).alias("own"), *rows)
+    count = reps.select("tree", F.lit(1).alias("own")).unionByName(visits.select("tree", F.lit(0).alias("own"))).groupBy("tree").agg(F.ceil(F.sum("own") / _TREE).cast("int").alias("so"), F.ceil(F.count(F.lit(1)) / _PROBES).cast("int").alias("sp"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    every = own.unionByName(guests).join(count.drop("sets"), "tree").withColumn("i", F.expr("cast(pmod(xxhash64(no), so) as int)")).withColumn("j", F.expr("cast(pmod(xxhash64(no, 1), sp) as int)"))
+    both = F.expr("array_distinct(concat(if(own, transform(sequence(0, sp - 1), x -> struct(i as ob, x as pb)), array()), transform(sequence(0, so - 1), x -> struct(x as ob, j as pb))))")
+    placed = every.withColumn("at", F.explode(both)).select("tree", "at.ob", "at.pb", F.expr("own and at.ob = i").alias("owner"), F.expr("at.pb = j").alias("probe"), *rows)
     m = max(12, b * 4)
-    pairs = placed.withColumn("some", F.expr(f"pmod(hash(tree, sub), {m})")).groupBy("some").applyInArrow(_drop_first(_trees(t)), "doc_a bigint, doc_b bigint, jaccard double")
-    return pairs.select("doc_a", "doc_b", "jaccard", F.lit(False).alias("same_set")).unionByName(same)
+    met = scratch.table(placed.withColumn("some", F.expr(f"pmod(hash(tree, ob, pb), {m})")).groupBy("some").applyInArrow(_drop_first(_trees(t)), "a bigint, no bigint, b bigint, links bigint"), "linked")
+    several = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
+    torn = members.join(several, "doc_id").join(reps.select(*key, "rep"), key).select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    roots = components(met.where("b is not null").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).unionByName(torn))
+    counts = met.where("b is null").groupBy("no").agg(F.sum("links").alias("others"))
+    told = reps.select(*key, "no", "rep", "copies").join(counts, "no", "left").join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    told = told.select(*key, F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(told, key).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links): the whole self-join, one row per id.
+
+    ``links`` is the number of other documents whose n-gram set has a Jaccard
+    of at least ``t`` with this one's, copies included; ``class_id`` is the smallest id
+    that such links lead to, the document's own where it has none. All links count, of however
+    large a group, but pairs aren't told.
+
+    A text of fewer than n words, but one at least, has one gram of all its words; a
+    text without words and a null text have no link; a null id has no row. Rows of one
+    id with the same grams count once. Rows of one id with different grams are documents
+    of their own, each with its links (to each other too), and share one row: the sum of the
+    links and one class. An empty table gives no rows; other columns are left behind.
+    """
+    ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    found = _linked(docs, n, t, id_col, text_col)
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -387,7 +458,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, root) of every document that a smaller id stands for: all but one of each group."""
-    return components(jaccard_join(docs, n, t, id_col, text_col))
+    return _linked(docs, n, t, id_col, text_col).where("class_id <> doc_id").select("doc_id", F.col("class_id").alias("root"))
 
 
 def without_near_duplicates(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ def _search(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFr
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": _search(topk.top_k),
     "op2_sentencepiece": _table("documents", spm.encode_documents),
-    "op3_ngram_jaccard": _table("documents", ngram_join.jaccard_join),
+    "op3_ngram_jaccard": _table("documents", ngram_join.classes),
     "op4_ann": _search(ann.neighbours),
     "op5_pii": _table("documents", pii.detect),
     "op6_toxicity": _labelled(toxicity.toxic),
@@ -77,16 +77,22 @@ SELECT page_id, url, canonical_url FROM c WHERE canonical_url IN
   (SELECT canonical_url FROM c WHERE regexp_matches(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '{_BLOCKED}'))
 """,
     "op3_ngram_jaccard": f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {ngram_join.N} THEN [array_to_string(w, ' ')]
         ELSE [array_to_string(w[i:i + {ngram_join.N} - 1], ' ') for i in range(1, len(w) - {ngram_join.N} + 2)] END)) AS g
       FROM w WHERE len(w) > 0),
-c AS (SELECT g, min(doc_id) AS rep FROM s GROUP BY g),
-same AS (SELECT DISTINCT c.rep AS doc_a, s.doc_id AS doc_b FROM s JOIN c ON s.g = c.g WHERE s.doc_id <> c.rep),
+c AS (SELECT g, min(doc_id) AS rep, count(DISTINCT doc_id) AS copies FROM s GROUP BY g),
+m AS (SELECT DISTINCT s.doc_id, c.rep, c.copies FROM s JOIN c ON s.g = c.g),
 u AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM c),
 o AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS na, b.n AS nb, count(*) AS k
-      FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_a, doc_b, k::DOUBLE / (na + nb - k) AS jaccard, false AS same_set FROM o WHERE k::DOUBLE / (na + nb - k) >= {ngram_join.T}
-UNION ALL SELECT doc_a, doc_b, 1.0::DOUBLE, true FROM same
+      FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+p AS (SELECT doc_a, doc_b FROM o WHERE k::DOUBLE / (na + nb - k) >= {ngram_join.T}),
+e AS (SELECT doc_a AS x, doc_b AS y FROM p UNION ALL SELECT doc_b, doc_a FROM p),
+l AS (SELECT e.x AS rep, sum(c.copies) AS k FROM e JOIN c ON c.rep = e.y GROUP BY e.x),
+r(rep, root) AS (SELECT rep, rep FROM c UNION SELECT r.rep, e.y FROM r JOIN e ON r.root = e.x),
+k AS (SELECT rep, min(root) AS class_id FROM r GROUP BY rep)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(m.copies - 1, 0) + coalesce(l.k, 0) AS BIGINT) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
+LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN k ON k.rep = m.rep LEFT JOIN l ON l.rep = m.rep
 """,
 }

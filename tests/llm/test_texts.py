@@ -98,14 +98,28 @@ def test_packing_is_one_stream(spark, make, odd, length):
 
 
 def jaccard_pairs(rows, n=5, t=0.5):
+    """Brute force: pairs of positions among the different (id, set) that match; what they stand for."""
     import re
 
-    sets = {}
+    sets = set()
     for i, x in rows:
         w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (x or "").lower())
         if i is not None and w:
-            sets[i] = {tuple(w)} if len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
-    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+            sets.add((i, frozenset([tuple(w)] if len(w) < n else (tuple(w[k : k + n]) for k in range(len(w) - n + 1)))))
+    sets = sorted(sets, key=lambda x: x[0])
+    return {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a][1] & sets[b][1]) >= t * len(sets[a][1] | sets[b][1])}, [i for i, _ in sets]
+
+
+def grouped(rows):
+    """id -> (class, links) by brute force."""
+    pairs, ids = jaccard_pairs(rows)
+    root, links = {i: i for i, _ in rows if i is not None}, dict.fromkeys((i for i, _ in rows if i is not None), 0)
+    for a, b in pairs:
+        links[ids[a]] += 1
+        links[ids[b]] += 1
+        low, high = sorted((root[ids[a]], root[ids[b]]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    return {i: (root[i], links[i]) for i in root}
 
 
 def near(rows, seed):
@@ -119,15 +133,25 @@ def near(rows, seed):
     return out
 
 
-def test_join_is_complete(make, odd):
+@pytest.mark.parametrize("small", [False, True])
+def test_join_is_complete(make, odd, monkeypatch, small):
+    if small:  # trees in many blocks, all grams hot
+        monkeypatch.setattr(ngram_join, "_TREE", 3)
+        monkeypatch.setattr(ngram_join, "_PROBES", 4)
+        monkeypatch.setattr(ngram_join, "_HOT", 1)
     rows = near(odd, 1) + [(300 + k, prose(9, 40)) for k in range(30)]
-    got = ngram_join.jaccard_join(make(rows)).collect()
-    rep = {r["doc_b"]: r["doc_a"] for r in got if r["same_set"]}
-    pairs = {(r["doc_a"], r["doc_b"]) for r in got if not r["same_set"]}
-    ids = sorted({i for i, t in rows if i is not None})
-    mine = {(a, b) for a, b in itertools.combinations(ids, 2) if (x := tuple(sorted((rep.get(a, a), rep.get(b, b))))) in pairs or (x[0] == x[1])}
-    assert mine == jaccard_pairs(rows)
-    assert ngram_join.jaccard_join(make([])).collect() == []
+    got = ngram_join.classes(make(rows))
+    assert got.columns == ["doc_id", "class_id", "links"]
+    assert sorted((r["doc_id"], (r["class_id"], r["links"])) for r in got.collect()) == sorted(grouped(rows).items())
+    assert ngram_join.classes(make([])).collect() == []
+
+
+def test_join_of_texts_that_share_an_id(make):
+    base = [prose(500 + k, 60) for k in range(20)]
+    rows = [(k * 10 + j, base[k] + f" {prose(1000 + k * 10 + j, 4)}" * (j > 0)) for k in range(20) for j in range(3)]
+    rows += [(0, prose(77, 50)), (55, prose(77, 50) + " more words"), (10, base[12] + " tail"), (10, base[1] + " another end"), (900, base[3]), (900, base[4])]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.classes(make(rows)).collect()}
+    assert got == grouped(rows) and got[900][0] == 30 and got[40][0] == 30
 
 
 def test_one_of_each_group_stays(make, odd):
@@ -135,12 +159,8 @@ def test_one_of_each_group_stays(make, odd):
     left = ngram_join.without_near_duplicates(docs)
     assert left.columns == docs.columns
     ids = [r["doc_id"] for r in left.collect()]
-    pairs = jaccard_pairs(near(odd, 2))
-    root = {}
-    for a, b in sorted(pairs):
-        root[b] = min(root.get(b, b), root.get(a, a), a)
-    assert ids.count(None) == 2 and {1, 2, 3, 4, 6, 7, 8} <= set(ids) and 5 not in ids
-    assert not any(a in ids and b in ids for a, b in pairs)
+    want = [i for i, _ in near(odd, 2) if i is None or grouped(near(odd, 2))[i][0] == i]
+    assert sorted(ids, key=str) == sorted(want, key=str) and ids.count(None) == 2
 
 
 # --- substring chains --------------------------------------------------------
