@@ -210,6 +210,96 @@ def test_repeats_are_cut(make, odd):
     assert texts[20] == prose(6, 40) + " " + prose(8, 30)
 
 
+def naive(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def edited(words, rate, r):
+    out = []
+    for w in words:
+        x = r.random()
+        out += [f"zz{r.randrange(9999)}"] if x < 0.6 * rate else [] if x < 0.8 * rate else [w, f"ii{r.randrange(9999)}"] if x < rate else [w]
+    return out
+
+
+def test_passages_against_brute_force(make):
+    """Every run of 50 equal words that a smaller id has is covered (save the borders of one word repeated), and every row matches as it says."""
+    r = random.Random(11)
+    pool = [prose(2000 + k, r.choice([20, 45, 55, 90])).split() for k in range(9)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            x = r.random()
+            words += prose(r.randrange(10**6), r.randint(1, 60)).split() if x < 0.3 else r.choice(pool) if x < 0.75 else edited(r.choice(pool), 0.1, r) if x < 0.95 else ["na"] * r.randint(1, 150)
+        rows.append((i * 3, " ".join(words)))
+    rows += [rows[4], rows[5]]
+    found = chaining.passages(make(rows)).collect()
+    texts = {i: t.split() for i, t in rows}
+    runs = {}
+    for i in sorted(texts):
+        covered = {x for f in found if f["doc_id"] == i for x in range(f["first_word"], f["end_word"])}
+        for k in range(len(texts[i]) - 49):
+            run = tuple(texts[i][k : k + 50])
+            assert len(set(run)) < 10 or run not in runs or runs[run] == i or set(range(k, k + 50)) <= covered, (i, k)
+        for k in range(len(texts[i]) - 49):
+            runs.setdefault(tuple(texts[i][k : k + 50]), i)
+    assert len(found) > 30 and len({tuple(f) for f in found}) == len(found)
+    for f in found:
+        a, b = texts[f["doc_id"]][f["first_word"] : f["end_word"]], texts[f["source_id"]][f["source_first"] : f["source_end"]]
+        assert f["source_id"] < f["doc_id"] and min(len(a), len(b)) >= 50 and f["text_hash"] is None
+        assert 0.7 * max(len(a), len(b)) <= f["matched"] <= naive(a, b) and f["identity"] == pytest.approx(f["matched"] / max(len(a), len(b)))
+
+
+@pytest.mark.parametrize("rate, size, least", [(0.05, 60, 0.97), (0.1, 60, 0.93), (0.15, 60, 0.85), (0.1, 80, 0.97), (0.2, 80, 0.85)])
+def test_recall_by_edit_rate(make, rate, size, least):
+    r = random.Random(12)
+    rows = []
+    for k in range(60):
+        p = prose(3000 + k, size).split()
+        rows += [(2 * k, f"{prose(k, 40)} {' '.join(p)} {prose(100 + k, 30)}"), (2 * k + 1, f"{prose(200 + k, 70)} {' '.join(edited(p, rate, r))} {prose(300 + k, 20)}")]
+    found = {(f["doc_id"], f["source_id"]) for f in chaining.passages(make(rows)).collect()}
+    assert all(a == b + 1 for a, b in found) and len(found) >= least * 60
+
+
+def test_a_passage_whose_parts_others_have(make, monkeypatch):
+    monkeypatch.setattr(chaining, "ASKS", 2)  # sources of many documents are asked in several rows
+    a, b = prose(40, 45), prose(41, 45)
+    rows = [(0, f"{prose(42, 30)} {a} {prose(43, 30)}"), (1, f"{b} {prose(44, 30)}"), (2, f"{a} {b} {prose(45, 9)}"), (3, f"{prose(46, 14)} {a} {prose(47, 40)}"), (4, f"{prose(48, 40)} {b}"), (5, f"{prose(49, 25)} {a} {b}")]
+    rows += [(10 + k, f"{prose(400 + k, 30)} {prose(50, 60)}") for k in range(9)]
+    found = {(f["doc_id"], f["source_id"], f["first_word"], f["end_word"]) for f in chaining.passages(make(rows)).collect()}
+    assert (5, 2, 25, 115) in found and {f[0] for f in found} == {5, *range(11, 19)}
+
+
+def test_texts_that_share_an_id_are_cut_each(make):
+    shared, own, other = prose(51, 70), prose(52, 90), prose(53, 90)
+    rows = [(1, f"{own} {shared}"), (5, f"{shared} {other}"), (5, f"{prose(54, 80)} {prose(55, 40)}"), (7, f"{prose(56, 5)} {shared}"), (7, f"{prose(56, 5)} {shared}")]
+    docs = make(rows)
+    found = chaining.passages(docs)
+    assert {(f["doc_id"], f["text_hash"] is None) for f in found.collect()} in ({(5, False), (7, True)}, {(5, True), (7, True)}, {(1, True), (7, True)}, {(1, True), (5, False), (7, True)})
+    left = sorted((r["doc_id"], r["text"]) for r in chaining.without_repeats(docs, found).collect())
+    assert (5, f"{prose(54, 80)} {prose(55, 40)}") in left and left[-2:] == [(7, prose(56, 5) + " ")] * 2
+    assert sum(shared in t for _, t in left) == 1
+
+
+def test_alignment_in_batches_equals_one_by_one():
+    r = np.random.default_rng(6)
+    w0, w1 = r.integers(0, 9, 4000).astype(np.uint32), r.integers(0, 9, 4000).astype(np.uint32)
+    n, m = (r.choice([0, 1, 3, 15, 16, 17, 40, 64, 65, 90, 300], 80) for _ in range(2))
+    a, b = r.integers(0, 3600, 80), r.integers(0, 3600, 80)
+    assert chaining._alignments(w0, a, n, w1, b, m).tolist() == [naive(w0[i : i + x].tolist(), w1[j : j + y].tolist()) for i, x, j, y in zip(a, n, b, m)]
+    ends = chaining._edges(w0, a + 100, np.minimum(n, 32), w1, b + 100, np.minimum(m, 32), 1)
+    back = chaining._edges(w0[::-1], 3999 - a - 100, np.minimum(n, 32), w1[::-1], 3999 - b - 100, np.minimum(m, 32), -1)
+    assert (ends == back).all()
+    for (i, j, hit), x, y, p, q in zip(ends.tolist(), n, m, a, b):
+        assert i <= min(x, 32) and j <= min(y, 32) and hit <= naive(w0[p + 100 : p + 100 + i].tolist(), w1[q + 100 : q + 100 + j].tolist())
+
+
 def test_fenwick_chains_beat_brute_force():
     r = random.Random(4)
     for _ in range(40):
