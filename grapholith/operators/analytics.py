@@ -117,10 +117,11 @@ def link_tally(links: DataFrame) -> DataFrame:
 def catalog_edges(nodes: DataFrame, edges: DataFrame, inbound: bool, most: int = CATALOG_EDGES) -> DataFrame:
     """(id, pos, other, text, more): a node's first edges by (from, to, text), and how many are left out."""
     own, other = ("to", "from") if inbound else ("from", "to")
-    w = Window.partitionBy(own)
-    e = edges.withColumn("pos", F.row_number().over(w.orderBy("from", "to", "text"))).withColumn("n", F.count(F.lit(1)).over(w))
-    kept = e.where(F.col("pos") <= most).select(F.col(own).alias("id"), "pos", F.col(other).alias("other"), "text", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
-    return kept.join(nodes.select("id"), "id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy(own).orderBy("from", "to", "text"))
+    kept = edges.select("from", "to", "text", rank.alias("pos")).where(F.col("pos") <= most)  # a group limit: a hub's edges are cut before they are shuffled
+    n = edges.groupBy(F.col(own).alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    x = kept.select(F.col(own).alias("id"), "pos", F.col(other).alias("other"), "text").join(nodes.select("id"), "id", "left_semi")
+    return x.join(n, "id", "left").select("id", "pos", "other", "text", F.coalesce(F.col("n") - most, F.lit(0)).cast("bigint").alias("more"))
 
 
 def catalog(concepts: DataFrame, backlinks: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``nodes``: (id, title, type, tier, stale). ``edges``: (from, to, text); equal edges and
 edges to absent nodes stay. Verbs walk raw edges and drop absent nodes at the end only.
-All results are DataFrames; nothing is collected but a found-flag a level of ``path``.
+All results are DataFrames; nothing is collected but a number of rows a level. Each level
+joins the frontier to the raw edges in one scan, drops what was seen, and is cut.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spec import MAX_DEPTH, MAX_RESULTS, NODE_COLUMNS, NODE_PROPERTIES
-from .lineage import cut
+from .lineage import cut, near
 
 EDGE_COLUMNS = ("from", "to", "text")
 
@@ -60,13 +61,42 @@ def steps(edges: DataFrame, direction: str = "out", rel: str = "") -> DataFrame:
     return back if direction == "in" else out.unionByName(back.where(F.col("from") != F.col("to")))
 
 
+def _hops(edges: DataFrame, direction: str, rel: str = "") -> DataFrame:
+    """:func:`steps` for a join with a frontier: the edges are read once whatever the direction."""
+    if direction != "both":
+        return steps(edges, direction, rel)
+    e = edges.select(*EDGE_COLUMNS)
+    if rel:
+        e = e.where(F.col("text") == rel)
+    out, back = F.struct(F.col("from").alias("a"), F.col("to").alias("b")), F.struct(F.col("to").alias("a"), F.col("from").alias("b"))
+    return e.withColumn("x", F.explode(F.when(F.col("from") == F.col("to"), F.array(out)).otherwise(F.array(out, back)))).select("x.a", "x.b", *EDGE_COLUMNS)
+
+
+def _levels(edges: DataFrame, start: DataFrame, depth: int, direction: str, rel: str, key: list[str]) -> DataFrame:
+    """``start`` (``key`` with id, depth 0) and what lies within ``depth`` hops, each at its least depth."""
+    hop = _hops(edges, direction, rel).select("a", "b")
+    frontier = seen = cut(start)
+    rows = frontier.count()
+    total = rows
+    for d in range(1, depth + 1):
+        if not rows:
+            break
+        on = hop.join(near(frontier.select(*key), rows), F.col("id") == F.col("a"))
+        new = on.select(*[F.col("b").alias(c) if c == "id" else F.col(c) for c in key]).distinct()
+        frontier = cut(new.join(near(seen.select(*key), total), key, "left_anti").withColumn("depth", F.lit(d)))
+        rows = frontier.count()
+        total += rows
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def _first(nodes: DataFrame, limit: int) -> DataFrame:
     return nodes.orderBy("id").limit(limit)
 
 
 def _inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with both ends among ``ids``."""
-    one, other = ids.select(F.col("id").alias("from")), ids.select(F.col("id").alias("to"))
+    """Edges with both ends among ``ids``, which a verb's cap bounds."""
+    one, other = F.broadcast(ids.select(F.col("id").alias("from"))), F.broadcast(ids.select(F.col("id").alias("to")))
     return edges.join(one, "from", "left_semi").join(other, "to", "left_semi").select(*EDGE_COLUMNS)
 
 
@@ -92,16 +122,9 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, id: str, depth: int = 1, di
     """Nodes within ``depth`` hops at their least depth, and all edges among those kept."""
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth {depth} is not within 1 and {MAX_DEPTH}")
-    hop = steps(edges, direction, rel).select("a", "b").distinct()
-    seen = frontier = nodes.where(F.col("id") == id).select("id", F.lit(0).alias("depth"))
-    for d in range(1, depth + 1):
-        new = frontier.join(hop, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = new.select("id", F.lit(d).alias("depth"))
-        if d >= 2 and d < depth:
-            frontier = cut(frontier)
-        seen = seen.unionByName(frontier)
-    found = nodes.join(seen, "id")
-    kept = _first(found, limit)
+    start = nodes.where(F.col("id") == id).select("id", F.lit(0).alias("depth"))
+    found = nodes.join(_levels(edges, start, depth, direction, rel, ["id"]), "id")
+    kept = cut(_first(found, limit))
     pool = edges.where(F.col("text") == rel) if rel else edges
     return Answer(kept.select(*NODE_COLUMNS), _inside(pool.select(*EDGE_COLUMNS), kept), kept.select("id", "depth"), limit, found.limit(limit + 1))
 
@@ -139,11 +162,14 @@ def path(nodes: DataFrame, edges: DataFrame, start: str, end: str, max_depth: in
         return spark.createDataFrame([(False, 0, [], True)], schema)
     if start == end:
         return spark.createDataFrame([(True, 0, [start], False)], schema)
-    hop = steps(edges, direction)
+    hop = _hops(edges, direction)
+    rows = 1
     seen = frontier = spark.range(1).select(F.lit(start).alias("id"), F.array().cast("array<struct<from: string, to: string, text: string>>").alias("walk"))
     for d in range(1, max_depth + 1):
-        on = frontier.join(hop, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.array_append("walk", F.struct(*EDGE_COLUMNS)).alias("walk"))
+        on = hop.join(near(frontier, rows), F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.array_append("walk", F.struct(*EDGE_COLUMNS)).alias("walk"))
         frontier = cut(on.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("walk").alias("walk")))
+        if not (rows := frontier.count()):
+            break
         hit = frontier.where(F.col("id") == end)
         if not hit.isEmpty():
             other = lambda acc, e: F.array_append(acc, F.when(F.element_at(acc, -1) == e["from"], e["to"]).otherwise(e["from"]))
@@ -154,15 +180,8 @@ def path(nodes: DataFrame, edges: DataFrame, start: str, end: str, max_depth: in
 
 def reach(edges: DataFrame, anchors: DataFrame, depth: int, direction: str = "out", rel: str = "") -> DataFrame:
     """(anchor, id, depth) for many anchors (id) at once: the batch form of :func:`neighborhood`, without a cap."""
-    hop = steps(edges, direction, rel).select("a", "b").distinct()
-    seen = frontier = anchors.select(F.col("id").alias("anchor"), "id", F.lit(0).alias("depth")).distinct()
-    for d in range(1, depth + 1):
-        new = frontier.join(hop, F.col("id") == F.col("a")).select("anchor", F.col("b").alias("id")).distinct().join(seen, ["anchor", "id"], "left_anti")
-        frontier = new.withColumn("depth", F.lit(d))
-        if d >= 2 and d < depth:
-            frontier = cut(frontier)
-        seen = seen.unionByName(frontier)
-    return seen
+    start = anchors.select(F.col("id").alias("anchor"), "id", F.lit(0).alias("depth")).distinct()
+    return _levels(edges, start, depth, direction, rel, ["anchor", "id"])
 
 
 def degrees(edges: DataFrame, loops: bool = True) -> DataFrame:

@@ -4,13 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SETTING = "spark.checkpoint.dir"
+SMALL = 100_000  # rows of ids that every executor may get
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names. A temporary one stands in for it in local mode only: on a cluster its machines couldn't share it."""
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{SETTING} names no folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="grapholith-")
+        spark.conf.set(SETTING, named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the cluster's checkpoint folder; a temporary one only where none is named (tests)."""
+    """``df`` from the cluster's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="grapholith-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def near(ids: DataFrame, rows: int) -> DataFrame:
+    """``ids``, sent to every executor if there are few; ``rows`` is their counted number."""
+    return F.broadcast(ids) if rows <= SMALL else ids

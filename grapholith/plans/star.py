@@ -65,7 +65,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, kind).select(node_id(kind, key).alias("from"), node_id(to, fk).alias("to"), F.lit(text).alias("text")) for kind, key, to, fk, text in _EDGES]
     lines = table(spark, sf_dir, "lineitem")
     for to, key, text in (("part", "l_partkey", "contains"), ("supplier", "l_suppkey", "supplied_by")):
-        parts.append(lines.select(node_id("orders", "l_orderkey").alias("from"), node_id(to, key).alias("to"), F.lit(text).alias("text")).distinct())
+        pairs = lines.select("l_orderkey", key).distinct()  # of numbers, before they become texts
+        parts.append(pairs.select(node_id("orders", "l_orderkey").alias("from"), node_id(to, key).alias("to"), F.lit(text).alias("text")))
     return reduce(DataFrame.unionByName, parts)
 
 
