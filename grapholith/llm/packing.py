@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .spm import MODEL, SLICE, Codec, Vocabulary, _lists
+from .spm import MODEL, SLICE, Vocabulary, _lists, codec
 from .words import raw, slices
 
 END = 2
@@ -28,30 +28,40 @@ _SCHEMA_CUT = "window_id bigint, at int, whole boolean, ids array<int>, doc_ids
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    n = min(scratch.buckets(slim, 16_000_000), MOST_PARTS)
+    n = min(scratch.buckets(slim, 6_000_000), MOST_PARTS)
     return slim.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
 
+def width(v: Vocabulary, end: int) -> str:
+    """The type of a packed id: 16 bits where all ids fit."""
+    return "<u2" if max(len(v.names), end) < 1 << 16 and end >= 0 else "<i4"
+
+
+def _packed(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+
+
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end: int) -> DataFrame:
-    """(part, local, n, doc_id, ids): ids with the end mark, ``local`` the running sum before."""
+    """(part, local, n, doc_id, ids): ids with the end mark, packed (:func:`width`), ``local`` the running sum before."""
     v = Vocabulary(path)
+    kind = width(v, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, total = Codec(v), TaskContext.get().partitionId(), 0
+        own, part, total = codec(v), TaskContext.get().partitionId(), 0
         for b in batches:
             for i, j in slices(raw(b.column(1))[1], SLICE):
-                ids, offsets = codec.encode_slice(b.column(1).slice(i, j - i))
+                ids, offsets = own.encode_slice(b.column(1).slice(i, j - i))
                 ids, offsets = np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
                 n = np.diff(offsets)
                 local = total + offsets[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(n), b.column(0).slice(i, j - i), _lists(ids, offsets)], ["part", "local", "n", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(n), b.column(0).slice(i, j - i), _packed(ids.astype(kind), offsets)], ["part", "local", "n", "doc_id", "ids"])
                 total += int(offsets[-1])
 
-    return _ordered(docs, id_col, text_col).mapInArrow(run, "part int, local bigint, n bigint, doc_id bigint, ids array<int>")
+    return _ordered(docs, id_col, text_col).mapInArrow(run, "part int, local bigint, n bigint, doc_id bigint, ids binary")
 
 
-def _cut(length: int, before: np.ndarray, whole_ones: bool):
-    """Cut contiguous rows (part, local, doc_id, ids) into windows: the whole ones, or the pieces at the ends of a run."""
+def _cut(length: int, before: np.ndarray, whole_ones: bool, kind: str):
+    """Cut contiguous rows (part, local, doc_id, packed ids) into windows: the whole ones, or the pieces at the ends of a run."""
 
     class Run:
         def __init__(self, start: int):
@@ -97,12 +107,12 @@ def _cut(length: int, before: np.ndarray, whole_ones: bool):
             if not rows:
                 return None
             w, at, whole, ids, docs, starts, offs = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(at, pa.int32()), pa.array(whole, pa.bool_()), _lists(np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])]), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(offs, pa.list_(pa.int64()))], names)
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(at, pa.int32()), pa.array(whole, pa.bool_()), _lists(np.concatenate(ids).astype(np.int32), np.r_[0, np.cumsum([len(x) for x in ids])]), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(offs, pa.list_(pa.int64()))], names)
 
         for b in batches:
             starts = before[b.column(0).to_numpy()] + b.column(1).to_numpy()
-            lists = b.column(3)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            values, offsets = raw(b.column(3))
+            values, offsets = np.frombuffer(values, kind), offsets // np.dtype(kind).itemsize
             done: list[tuple] = []
             for k, (start, doc) in enumerate(zip(starts.tolist(), b.column(2).to_pylist())):
                 if now is not None and start != now.next:
@@ -131,13 +141,14 @@ def pack(docs: DataFrame, length: int = 2048, path: str = MODEL, id_col: str = "
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
+    kind = width(Vocabulary(path), end)
     rows = scratch.table(tokenised(docs, path, id_col, text_col, end), "tokens")
     totals = {r["part"]: r["total"] for r in rows.groupBy("part").agg(F.sum("n").alias("total")).collect()}
     counts = np.array([totals.get(p, 0) for p in range(max(totals, default=-1) + 1)], np.int64)
     before = np.cumsum(counts) - counts
     names = ["window_id", "ids", "doc_ids", "doc_starts", "doc_offsets"]
     tokens = rows.select("part", "local", "doc_id", "ids")
-    pieces = tokens.mapInArrow(_cut(length, before, False), _SCHEMA_CUT)
+    pieces = tokens.mapInArrow(_cut(length, before, False, kind), _SCHEMA_CUT)
     met = pieces.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids", "doc_ids", "doc_starts", "doc_offsets"))).alias("p"))
     joined = met.select("window_id", F.flatten("p.ids").alias("ids"), F.flatten("p.doc_ids").alias("doc_ids"), F.flatten("p.doc_starts").alias("doc_starts"), F.flatten("p.doc_offsets").alias("doc_offsets"))
-    return tokens.mapInArrow(_cut(length, before, True), _SCHEMA_CUT).select(names).unionByName(joined)
+    return tokens.mapInArrow(_cut(length, before, True, kind), _SCHEMA_CUT).select(names).unionByName(joined)

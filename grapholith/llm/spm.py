@@ -78,6 +78,7 @@ class Vocabulary:
         self.unk = p.unk_id()
         self.merges = _field(_field(p.serialized_model_proto(), _TRAINER) or b"", _KIND) == _BPE
         self.names = [b"" if special[i] else bytes([int(p.id_to_piece(i)[1:-1], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace(BLANK, " ").encode() for i in every]
+        self.key = (path, hash(p.serialized_model_proto()))
         self._finish()
 
     def _finish(self) -> None:
@@ -92,7 +93,7 @@ class Vocabulary:
     def of(cls, pieces: dict[str, float], merges: bool = False) -> Vocabulary:
         """A vocabulary for tests: ids 1.. in order, 0 unknown, no bytes."""
         v = cls.__new__(cls)
-        v.bytes_, v.unk, v.merges = {}, 0, merges
+        v.bytes_, v.unk, v.merges, v.key = {}, 0, merges, None
         v.pieces = {p: (i, s) for i, (p, s) in enumerate(pieces.items(), 1)}
         v.names = [b"", *(p.replace(BLANK, " ").encode() for p in pieces)]
         v._finish()
@@ -279,12 +280,17 @@ def lattice(chunks: list[str], n: int, t: Table, v: Vocabulary) -> list[bytes |
 
 
 def merged(chunks: list[str], n: int, t: Table, v: Vocabulary) -> list[bytes | None]:
-    """Ids of chunks of up to n characters by the model's merges, one in each chunk a round; None where a character is in no piece."""
-    k, base, none = len(chunks), np.uint64(_BASE), len(t.ids) - 1
-    lens = np.fromiter(map(len, chunks), np.int64, k)
+    """Ids of chunks of up to n characters by the model's merges; None where a character is in no piece."""
+    lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    return _merged(np.frombuffer("".join([c.ljust(n) for c in chunks]).encode("utf-32-le"), np.uint32), lens, n, t)
+
+
+def _merged(chars: np.ndarray, lens: np.ndarray, n: int, t: Table) -> list[bytes | None]:
+    """``merged`` of n code points a chunk, of which the first ``lens`` count: one merge in each chunk a round."""
+    k, base, none = len(lens), np.uint64(_BASE), len(t.ids) - 1
     cols = np.arange(n)
     alive = cols < lens[:, None]
-    h = np.frombuffer("".join([c.ljust(n) for c in chunks]).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h = chars.astype(np.uint64) + np.uint64(1)
     power = np.full(n + 1, base)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
@@ -336,29 +342,53 @@ _WIDTHS = (4, 6, 8, 10, 12, 16, 24, 40, TOGETHER)  # chunks of about one length
 
 
 class Memo(dict):
-    """Ids of chunks (UTF-8) between settled boundaries; emptied when full, so memory is bounded."""
+    """Ids of chunks (UTF-8) between settled boundaries, in two generations: when the younger is full, the older goes. So memory is bounded and frequent chunks stay."""
 
     def __init__(self, v: Vocabulary, most: int = 400_000):
-        self.v, self.most, self.table = v, most, None
+        self.v, self.most, self.table, self.older = v, most, None, {}
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode the unknown ones of up to ``TOGETHER`` characters together, by length."""
+    def ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of different chunks, 32 bits each."""
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
-        by: dict[int, list[bytes]] = {}
-        for c in chunks:
-            if c not in self and len(c) <= TOGETHER:
-                n = len(c.decode())
-                by.setdefault(_WIDTHS[bisect_left(_WIDTHS, n)] if self.v.merges else n, []).append(c)
-        if by:
-            self.table = self.table or Table(self.v)
-        together = merged if self.v.merges else lattice
-        for n, group in by.items():
-            if self.v.merges and len(group) < 20:
-                continue  # so few are faster one by one
-            for i in range(0, len(group), 8192):
-                part = group[i : i + 8192]
-                self.update((c, ids) for c, ids in zip(part, together([c.decode() for c in part], n, self.table, self.v)) if ids is not None)
+        got = list(map(self.get, chunks))
+        left = [i for i, x in enumerate(got) if x is None]
+        if self.older:
+            for i, x in zip(left, map(self.older.get, [chunks[i] for i in left])):
+                if x is not None:
+                    self[chunks[i]] = got[i] = x
+            left = [i for i in left if got[i] is None]
+        self.learn([chunks[i] for i in left if len(chunks[i]) <= TOGETHER])
+        for i in left:
+            got[i] = self[chunks[i]]
+        return got
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode unknown chunks of up to ``TOGETHER`` bytes together, by length."""
+        if not new:
+            return
+        self.table = self.table or Table(self.v)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        data, starts = np.frombuffer(b"".join(new), np.uint8), np.cumsum(sizes) - sizes
+        plain = np.maximum.reduceat(data, starts) < 128
+        if self.v.merges:
+            width = np.array(_WIDTHS)[np.searchsorted(_WIDTHS, sizes)]
+        else:
+            width = np.fromiter((len(c) if p else len(c.decode()) for c, p in zip(new, plain.tolist())), np.int64, len(new))
+        for n in np.unique(width).tolist():
+            for ascii_ in (True, False):
+                group = np.flatnonzero((width == n) & (plain == ascii_))
+                if self.v.merges and len(group) < 20:
+                    continue  # so few are faster one by one
+                for i in range(0, len(group), 8192):
+                    at = group[i : i + 8192]
+                    part = [new[k] for k in at.tolist()]
+                    if self.v.merges and ascii_:
+                        got = _merged(data[np.minimum(starts[at, None] + np.arange(n), len(data) - 1)].ravel(), sizes[at], n, self.table)
+                    else:
+                        got = (merged if self.v.merges else lattice)([c.decode() for c in part], n, self.table, self.v)
+                    self.update((c, ids) for c, ids in zip(part, got) if ids is not None)
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = np.fromiter((i for part in stream(chunk.decode().replace(" ", BLANK), self.v) for i in part), np.int32).tobytes()
@@ -380,8 +410,9 @@ class Codec:
 
     def __init__(self, v: Vocabulary, dummy_prefix: bool = True):
         self.v, self.dummy, self.memo = v, dummy_prefix, Memo(v)
-        self.sizes = np.array([len(n) for n in v.names], np.int64)
-        self.starts, self.bytes_ = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(v.names), np.uint8)
+        names = [*v.names, "\ufffd".encode()]  # the last one stands for ids outside the vocabulary
+        self.sizes = np.array([len(n) for n in names], np.int64)
+        self.starts, self.bytes_ = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(names), np.uint8)
 
     def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts; a null has none. Each different chunk is looked up once."""
@@ -406,8 +437,7 @@ class Codec:
         ends = np.r_[starts[1:], len(data)]
         _, at, back = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
         chunks = [whole[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist())]
-        self.memo.learn(chunks)
-        known = list(map(self.memo.__getitem__, chunks))
+        known = self.memo.ids(chunks)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         counts = sizes[back]
         ids = gather(np.frombuffer(b"".join(known), np.int32), (np.cumsum(sizes) - sizes)[back], counts)
@@ -419,6 +449,8 @@ class Codec:
     def decode_slice(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(UTF-8 bytes, offsets) of lists of ids, with the leading blank."""
         ids = np.asarray(ids, np.int64)
+        none = len(self.sizes) - 1
+        ids = np.where((ids < 0) | (ids > none), none, ids)
         sizes = self.sizes[ids]
         return gather(self.bytes_, self.starts[ids], sizes), np.r_[0, np.cumsum(sizes)][offsets]
 
@@ -434,6 +466,17 @@ class Codec:
         return [data[a:z] == got[p + skip * (z > a) : q] for a, z, p, q in zip(own[:-1].tolist(), own[1:].tolist(), at[:-1].tolist(), at[1:].tolist())]
 
 
+_CODECS: dict[tuple, Codec] = {}
+
+
+def codec(v: Vocabulary) -> Codec:
+    """This process's codec of the vocabulary: what one task has learned serves the next ones of the same worker."""
+    if v.key not in _CODECS:
+        _CODECS.clear()  # memory for one
+        _CODECS[v.key] = Codec(v)
+    return _CODECS[v.key]
+
+
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
 
@@ -449,14 +492,14 @@ def encode_documents(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id",
     v = Vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(v)
+        own = codec(v)
         for b in batches:
             for i, j in slices(raw(b.column(1))[1], SLICE):
                 texts = b.column(1).slice(i, j - i)
-                ids, offsets = codec.encode_slice(texts)
+                ids, offsets = own.encode_slice(texts)
                 cols = [b.column(0).slice(i, j - i), _lists(ids, offsets), pa.array(np.diff(offsets))]
                 if check:
-                    cols.append(pa.array(codec.lossless(texts, ids, offsets), pa.bool_()))
+                    cols.append(pa.array(own.lossless(texts, ids, offsets), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "lossless"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -464,14 +507,18 @@ def encode_documents(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id",
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) from token ids; null ids give a null text, no ids an empty one."""
+    """(doc_id, text) from token ids; null ids give a null text, no ids an empty one.
+
+    A null among the ids, and an id that the vocabulary doesn't have, negative ones too, gives
+    the replacement character. Other columns are left behind; an empty table gives no rows.
+    """
     v = Vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(v)
+        own = codec(v)
         for b in batches:
-            texts = [None if x is None else codec.decode(np.array(x, np.int32)) for x in b.column(1).to_pylist()]
+            texts = [None if x is None else own.decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<bigint>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
