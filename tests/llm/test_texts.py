@@ -74,6 +74,26 @@ def test_round_trip_of_odd_rows(spark, make, odd):
     assert spm.encode_documents(make([])).collect() == []
 
 
+def test_decoding_of_ids_outside_the_vocabulary(spark):
+    c = spm.Codec(spm.Vocabulary())
+    hello = c.encode("hello world").tolist()
+    rows = [(1, hello), (2, None), (3, []), (4, [10**6]), (5, [-5, *hello]), (6, [hello[0], None])]
+    got = {r["doc_id"]: r["text"] for r in spm.decode_documents(spark.createDataFrame(rows, "doc_id bigint, ids array<int>")).collect()}
+    assert got == {1: "hello world", 2: None, 3: "", 4: "\ufffd", 5: "\ufffd hello world", 6: c.decode(hello[:1]) + "\ufffd"}
+
+
+def test_memo_keeps_frequent_chunks_in_bounds():
+    c = spm.Codec(spm.Vocabulary())
+    c.memo.most = 200
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    for k in range(12):
+        text = "the common words é☃ " + prose(k, 90)
+        assert c.encode(text).tolist() == p.encode(text)
+        assert len(c.memo) + len(c.memo.older) <= 700 and b" common" in c.memo
+
+
 # --- packing -----------------------------------------------------------------
 
 
