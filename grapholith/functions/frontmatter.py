@@ -7,6 +7,7 @@ false, integers and floats are typed. Values travel as JSON texts.
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pyarrow as pa
@@ -22,16 +23,27 @@ _INT = re.compile(r"^[-+]?(0|[1-9][0-9]*|0x[0-9a-fA-F]+|0o[0-7]+)$")
 _FLOAT = re.compile(r"^[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?$")
 
 
+DEEPEST, MOST_VALUES = 100, 100_000
+
+
 class FrontmatterError(ValueError):
     """Text that isn't an ordered mapping."""
 
 
-def value_of(node: yaml.Node):
-    """A node's value: text, number, boolean, None, list or dict."""
+def value_of(node: yaml.Node, depth: int = 0, seen: list[int] | None = None):
+    """A node's value: text, number, boolean, None, list or dict.
+
+    Integers beyond 64 bits and floats beyond their range stay texts. Deep nesting (an
+    alias that holds itself included) and aliases that multiply are errors.
+    """
+    seen = [0] if seen is None else seen
+    seen[0] += 1
+    if depth > DEEPEST or seen[0] > MOST_VALUES:
+        raise FrontmatterError("frontmatter is nested too deeply" if depth > DEEPEST else "frontmatter has too many values")
     if isinstance(node, yaml.SequenceNode):
-        return [value_of(n) for n in node.value]
+        return [value_of(n, depth + 1, seen) for n in node.value]
     if isinstance(node, yaml.MappingNode):
-        return {str(k.value): value_of(v) for k, v in node.value}
+        return {key_of(k): value_of(v, depth + 1, seen) for k, v in node.value}
     s = node.value
     if node.style or node.tag == "tag:yaml.org,2002:str" and not _plain(s):
         return s
@@ -40,8 +52,15 @@ def value_of(node: yaml.Node):
     if _BOOL.match(s):
         return s.lower() == "true"
     if _INT.match(s):
-        return int(s, 0) if s.lstrip("+-")[:2] in ("0x", "0o") else int(s)
-    return float(s) if _FLOAT.match(s) else s
+        n = (int(s, 0) if s.lstrip("+-")[:2] in ("0x", "0o") else int(s)) if len(s) < 24 else 1 << 64
+        return n if -(1 << 63) <= n < 1 << 63 else s
+    return float(s) if _FLOAT.match(s) and math.isfinite(float(s)) else s
+
+
+def key_of(node: yaml.Node) -> str:
+    if not isinstance(node, yaml.ScalarNode):
+        raise FrontmatterError("a key is not a scalar")
+    return str(node.value)
 
 
 def _plain(s: str) -> bool:
@@ -51,7 +70,9 @@ def _plain(s: str) -> bool:
 def compose(text: str) -> yaml.MappingNode | None:
     try:
         node = yaml.compose(text, Loader=yaml.SafeLoader)
-    except yaml.YAMLError as e:
+    except RecursionError as e:
+        raise FrontmatterError("frontmatter is nested too deeply") from e
+    except (yaml.YAMLError, ValueError) as e:
         raise FrontmatterError(" ".join(str(e).split())) from e
     if node is not None and not isinstance(node, yaml.MappingNode):
         raise FrontmatterError("frontmatter is not a mapping")
@@ -63,9 +84,10 @@ def load(text: str) -> dict:
     node = compose(text)
     out: dict = {}
     for k, v in node.value if node else ():
-        if k.value in out:
-            raise FrontmatterError(f"key {k.value!r} is there twice")
-        out[str(k.value)] = value_of(v)
+        key = key_of(k)
+        if key in out:
+            raise FrontmatterError(f"key {key!r} is there twice")
+        out[key] = value_of(v)
     return out
 
 
@@ -110,7 +132,7 @@ def parse(text: Column) -> Column:
     return F.arrow_udf(_parse, ENTRY)(text)
 
 
-# --- projections of parsed frontmatter ---------------------------------------
+# projections of parsed frontmatter
 
 
 def raw_value(fm: Column, key: str) -> Column:
@@ -165,7 +187,7 @@ def text_list(fm: Column, key: str) -> Column:
     return F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda s: F.regexp_replace(F.trim(s), r"^\[\[|\]\]$", ""))
 
 
-# --- writing -----------------------------------------------------------------
+# writing
 
 
 def dump(value: dict) -> str:

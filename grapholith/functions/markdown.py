@@ -21,9 +21,10 @@ _AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\
 _WIKI = re.compile(r"\[\[([^\[\]]+)\]\]")
 _TAG = re.compile(r"(^|\s)#([A-Za-z][A-Za-z0-9_/-]*)")
 _REWRITE = re.compile(r"(!?)\[([^\]]*)\]\(([^)]+)\)")
-_ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+(.*)$")
-_LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]+)[^)]*\)")
-_URL = re.compile(r"https?://\S+")
+_HEAD = re.compile(r"#{1,6}\s+(.*)$")
+_ITEM = re.compile(r"\s*[-*]\s+(.*)$")
+_LINK = re.compile(r"\[([^\]]*)\]\(([^)]+)\)")
+_URL = re.compile(r"<?(https?://[^\s>]+)>?$")
 
 
 def code_regions(text: str) -> list[tuple[int, int]]:
@@ -115,19 +116,17 @@ def headings(clear: str) -> list[dict]:
 
 
 def citations(text: str) -> list[dict]:
-    """List items under a heading named Citations, as (title, resource)."""
+    """List items under a heading named Citations, as (title, resource): a link, an address alone, or else a title."""
     out, inside = [], False
-    for line in text.splitlines():
-        h = _ATX.match(line)
-        if h:
-            inside = (h[2] or "").strip().lower() == "citations"
-        elif inside and (m := _ITEM.match(line)):
-            item = m[1].strip()
+    for line in text.split("\n"):
+        if h := _HEAD.match(line):
+            inside = h[1].strip().lower() == "citations"
+        elif inside and (m := _ITEM.match(line)) and (item := m[1].strip()):
             if l := _LINK.search(item):
-                out.append({"title": l[1], "resource": l[2]})
-            elif u := _URL.search(item):
-                out.append({"title": "", "resource": u[0]})
-            elif item:
+                out.append({"title": l[1].strip(), "resource": l[2].strip()})
+            elif u := _URL.match(item):
+                out.append({"title": "", "resource": u[1]})
+            else:
                 out.append({"title": item, "resource": ""})
     return out
 

@@ -11,6 +11,7 @@ UNVERIFIED, MACHINE, HUMAN = "unverified", "machine-confirmed", "human-reviewed"
 ATTESTED = "Attested Computation"
 DEFAULT_TYPE = "Note"
 MARKER = "x_recovery"  # key of the note that a file which couldn't be parsed gets
+VERSION, VERSION_KEY = "0.2", "bundle_version"  # what a root index declares, and under which key
 MAX_DEPTH, MAX_RESULTS = 5, 1000
 NODE_COLUMNS = ("id", "title", "type", "tier", "stale")
 NODE_PROPERTIES = ("id", "stale", "tier", "title", "type")

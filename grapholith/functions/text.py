@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spec import RESERVED, STATUS_ALIASES, STATUSES
+from .spec import RESERVED, STATUSES
 
 Text = Column | str
 
@@ -17,7 +17,7 @@ def _c(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# --- reading -----------------------------------------------------------------
+# reading
 
 
 def normalise_input(text: Text) -> Column:
@@ -55,7 +55,7 @@ def concept_id(rel_path: Text) -> Column:
     return F.when(name.isin(*RESERVED) | ~p.endswith(".md"), "").otherwise(F.regexp_replace(p, r"\.md$", ""))
 
 
-# --- slugs, titles, tags -----------------------------------------------------
+# slugs, titles, tags
 
 
 def heading_slug(text: Text) -> Column:
@@ -92,16 +92,7 @@ def sanitise(name: Text) -> Column:
     return F.when(s == "", "_").when(s.rlike("^[0-9]"), F.concat(F.lit("_"), s)).otherwise(s)
 
 
-def canonical_status(status: Text) -> Column:
-    """A known status, or what an alias stands for; null otherwise."""
-    s = F.lower(F.trim(_c(status)))
-    out = F.when(s.isin(*STATUSES), s)
-    for alias, real in STATUS_ALIASES.items():
-        out = out.when(s == alias, real)
-    return out
-
-
-# --- paths -------------------------------------------------------------------
+# paths
 
 
 def clean_path(path: Text) -> Column:
@@ -134,7 +125,15 @@ def under(path: Text, root: Text) -> Column:
     return (_c(path) == _c(root)) | _c(path).startswith(F.concat(_c(root), F.lit("/")))
 
 
-# --- predicates --------------------------------------------------------------
+def file_address(target: Text) -> Column:
+    """The path of a ``file:`` address of this machine, decoded and cleaned; null for other targets and hosts."""
+    t = F.element_at(F.split(_c(target), "#"), 1)
+    host, path = F.regexp_extract(t, "(?i)^file:(?://([^/]*))?(/.*)$", 1), F.regexp_extract(t, "(?i)^file:(?://([^/]*))?(/.*)$", 2)
+    local = (path != "") & F.lower(host).isin("", "localhost")
+    return F.when(local, clean_path(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))))
+
+
+# predicates
 
 _SCHEME = r"^(mailto|tel|ftp):"
 
@@ -158,10 +157,6 @@ def is_concept_reference(target: Text) -> Column:
     return local & F.lower(F.element_at(F.split(t, "#"), 1)).endswith(".md")
 
 
-def is_root_readme(rel_path: Text) -> Column:
-    return F.lower(_c(rel_path)) == "readme.md"
-
-
 def is_actor(actor: Text) -> Column:
     """``human:x``, ``process:x``, ``team:x`` or ``producer/version`` without blanks."""
     a = F.trim(_c(actor))
@@ -180,15 +175,11 @@ def is_iso_datetime(s: Text) -> Column:
     return is_iso_date(s) | (is_iso_date(day) & timed)
 
 
-def is_true(value: Text) -> Column:
-    return F.coalesce(F.lower(_c(value).cast("string")) == "true", F.lit(False))
-
-
 def is_status(status: Text) -> Column:
     return _c(status).isin(*STATUSES)
 
 
-# --- dates -------------------------------------------------------------------
+# dates
 
 
 def shifted_date(day: Text, rule: Text) -> Column:
@@ -200,7 +191,7 @@ def shifted_date(day: Text, rule: Text) -> Column:
     return F.when(unit == "d", F.date_format(F.date_add(d, n), "yyyy-MM-dd")).when(unit.isin("m", "y"), F.date_format(moved, "yyyy-MM-dd")).when(is_iso_date(rule), _c(rule))
 
 
-# --- escapes -----------------------------------------------------------------
+# escapes
 
 
 def sql_literal(value: Text) -> Column:

@@ -38,32 +38,6 @@ def attested(type_: Column) -> Column:
     return F.coalesce(type_ == ATTESTED, F.lit(False))
 
 
-def sign(verified: Column, by: str, at: str, explicit: bool) -> Column:
-    """``verified`` with a stamp appended; an equal one isn't repeated, and an implied actor never joins another's."""
-    v = F.coalesce(verified, F.array().cast("array<struct<by: string, at: string>>"))
-    stamp = F.struct(F.lit(by).alias("by"), F.lit(at).alias("at"))
-    there = F.exists(v, lambda x: (x["by"] == by) & (x["at"] == at))
-    other = F.exists(v, lambda x: x["by"] != by) if not explicit else F.lit(False)
-    return F.when(there | other, v).otherwise(F.array_append(v, stamp))
-
-
-def merge_tags(existing: Column, found: Column) -> Column:
-    """Existing tags with their repeats, then new ones by first appearance."""
-    return F.concat(existing, F.array_except(F.array_distinct(found), existing))
-
-
-def merge_sources(existing: Column, found: Column) -> Column:
-    """Sources by first appearance of (resource, title, author)."""
-    every = F.concat(existing, found)
-    key = lambda s: F.concat_ws("\x00", F.coalesce(s["resource"], F.lit("")), F.coalesce(s["title"], F.lit("")), F.coalesce(s["author"], F.lit("")))
-    keys = F.transform(every, key)
-    return F.filter(every, lambda s, i: F.array_position(keys, key(s)) == i + 1)
-
-
-def _empty(c: Column) -> Column:
-    return F.coalesce(F.trim(c) == "", F.lit(True))
-
-
 def findings(trust: Column, type_: Column, has_runtime: Column, error: Column) -> Column:
     """All of a concept's findings in one pass: array of (severity, message), in the order of the rules."""
 

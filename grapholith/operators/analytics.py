@@ -13,7 +13,7 @@ from .graph import degrees
 CATALOG_EDGES, SAMPLE_FILES = 20, 3
 
 
-# --- review ------------------------------------------------------------------
+# review
 
 
 def by_type(nodes: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def strict_counts(parts: dict[str, DataFrame], keys: tuple[str, ...] = ("orphans
     return out
 
 
-# --- lint and validation -----------------------------------------------------
+# lint and validation
 
 
 def broken_links(links: DataFrame, ids: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -83,15 +83,40 @@ def broken_links(links: DataFrame, ids: DataFrame, anchors: DataFrame) -> DataFr
     return joined.where(absent | unanchored | reference).select(F.col("concept_id").alias("concept"), F.col("raw_target").alias("detail"))
 
 
-def residual_wikilinks(links: DataFrame) -> DataFrame:
+def residual_wikilinks(concepts: DataFrame) -> DataFrame:
     """(concept, detail) of wiki links that stayed in a body."""
-    return links.select(F.col("concept_id").alias("concept"), F.concat(F.lit("[["), "target", F.lit("]]")).alias("detail"))
+    left = concepts.select(F.col("id").alias("concept"), F.explode("md.wikilinks").alias("w"))
+    return left.select("concept", F.concat(F.lit("[["), F.col("w")["target"], F.when(F.col("w")["alias"] != "", F.concat(F.lit("|"), F.col("w")["alias"])).otherwise(""), F.lit("]]")).alias("detail"))
+
+
+LINT = ("broken_links", "missing_titles", "orphans", "stale", "schema_violations")
+
+
+def lint(concepts: DataFrame, facts: DataFrame, today: str, entrypoints: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All buckets over a converted corpus: ``concepts`` as :func:`bundle.concepts` reads its files, ``facts`` of the files as authored.
+
+    ``strict_counts(parts, LINT)`` says what fails a strict run; entrypoints don't.
+    """
+    from ..sources import bundle as bd
+    from .graph import edges_of, nodes_of
+
+    links = bd.bundle_links(concepts)
+    nodes = nodes_of(concepts, today)
+    roles = node_roles(nodes, edges_of(links), True, entrypoints)
+    broken = broken_links(links, nodes, bd.anchors(concepts)).unionByName(residual_wikilinks(concepts))
+    return {
+        "broken_links": broken.orderBy("concept", "detail"),
+        **{k: x.orderBy(*x.columns) for k, x in source_findings(facts).items()},
+        **{f"{r}s": roles.where(F.col("role") == r).select(F.col("id").alias("concept")).orderBy("concept") for r in ("orphan", "entrypoint")},
+        "stale": nodes.where("stale").select(F.col("id").alias("concept")).orderBy("concept"),
+    }
 
 
 def source_findings(facts: DataFrame) -> dict[str, DataFrame]:
     """Missing titles and schema violations of facts (concept_id, title_present, type_present, recovered, error)."""
     c = F.col("concept_id").alias("concept")
-    bad = F.when(F.col("recovered"), F.concat(F.lit("invalid frontmatter"), F.when(F.coalesce("error", F.lit("")) != "", F.concat(F.lit(": "), "error")).otherwise(""))).when(~F.col("type_present"), "missing type")
+    error = F.regexp_replace(F.coalesce("error", F.lit("")), "^invalid frontmatter:? ?", "")
+    bad = F.when(F.col("recovered"), F.concat(F.lit("invalid frontmatter"), F.when(error != "", F.concat(F.lit(": "), error)).otherwise(""))).when(~F.col("type_present"), "missing type")
     return {"missing_titles": facts.where(~F.col("title_present")).select(c), "schema_violations": facts.select(c, bad.alias("detail")).where("detail is not null")}
 
 
@@ -111,7 +136,7 @@ def link_tally(links: DataFrame) -> DataFrame:
     return links.agg(F.count(F.lit(1)).alias("total"), F.count_if("resolved").alias("resolved"), F.count_if(~F.col("resolved")).alias("unresolved"))
 
 
-# --- catalogs ----------------------------------------------------------------
+# catalogs
 
 
 def catalog_edges(nodes: DataFrame, edges: DataFrame, inbound: bool, most: int = CATALOG_EDGES) -> DataFrame:
@@ -148,13 +173,14 @@ def folder_index(concepts: DataFrame) -> DataFrame:
     return x.select("dir", F.when(F.col("leaf"), "concept").otherwise("folder").alias("kind"), "name")
 
 
-def folder_index_text(concepts: DataFrame) -> DataFrame:
-    """(dir, text): the index file of each folder."""
-    row = F.when(F.col("kind") == "folder", F.concat(F.lit("* ["), "name", F.lit("]("), "name", F.lit("/index.md)"))).otherwise(F.concat(F.lit("* ["), t.humanise("name"), F.lit("]("), "name", F.lit(")")))
-    return folder_index(concepts).groupBy("dir").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((F.col("kind") == "concept").alias("k"), "name", row.alias("row")))), lambda x: x["row"]), "\n").alias("text"))
+def catalog_text(lines: DataFrame) -> DataFrame:
+    """(text): the catalog's lines (type, rel_path, line) as the block that follows the root's index."""
+    groups = lines.groupBy("type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rel_path", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    group = F.struct((F.col("type") == "(untyped)").alias("last"), "type", F.concat(F.lit("\n## "), "type", F.lit("\n\n"), "body", F.lit("\n")).alias("text"))
+    return groups.agg(F.concat(F.lit("\n# Catalog\n"), F.array_join(F.transform(F.sort_array(F.collect_list(group)), lambda x: x["text"]), "")).alias("text"))
 
 
-# --- type inference ----------------------------------------------------------
+# type inference
 
 FILE_RULES = (
     ("Specification", "spec-%", "%-spec.md", "%_spec.md"),

@@ -55,6 +55,36 @@ def resolve_markdown(links: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("target_id", F.coalesce("__out", F.lit(""))).withColumn("resolved", F.col("target_id") != "").drop("__key", "__path", "__out")
 
 
+def leaves(path: Column, root: str) -> Column:
+    """Whether a cleaned absolute path is outside ``root``, by whole segments."""
+    return ~t.under(path, F.lit(root.rstrip("/"))) if root.rstrip("/") else F.lit(False)
+
+
+def workspace_target(target: Column, root: str, workspace: str) -> Column:
+    """``file:`` addresses of markdown files inside the workspace as paths from the corpus folder ``root``; other targets as they are.
+
+    Paths are compared as they are written: symbolic links aren't followed. Without a root nothing changes.
+    """
+    if not root:
+        return target
+    p = t.file_address(target)
+    inside = p.isNotNull() & F.lower(p).endswith(".md") & ~leaves(p, workspace)
+    base = root.rstrip("/")
+    rel = F.when(t.under(p, F.lit(base)), F.substr(p, F.lit(len(base) + 1))).otherwise(F.lit("/.outside.md"))  # no concept: an unresolved link
+    return F.when(inside, F.concat(rel, F.regexp_extract(target, "(#.*)$", 1))).otherwise(target)
+
+
+def address_note(target: Column, root: str, workspace: str, external_roots: tuple[str, ...]) -> Column:
+    """Why a ``file:`` address stays external, if it points at another machine or out of the workspace and of the declared roots."""
+    if not root:
+        return F.lit(None).cast("string")
+    p, remote = t.file_address(target), target.rlike("(?i)^file://[^/]") & ~target.rlike("(?i)^file://localhost/")
+    out = p.isNotNull() & F.lower(p).endswith(".md") & leaves(p, workspace)
+    for other in external_roots:
+        out = out & leaves(p, other)
+    return F.when(remote, F.concat(F.lit("left external, another machine's file: "), target)).when(out, F.concat(F.lit("left external, outside the workspace: "), target))
+
+
 def read_target(raw: Column, concept_id: Column) -> Column:
     """What a bundle's own link points at, whether or not it exists: ``.md`` by exact case, ``..`` stops at the root."""
     local = F.element_at(F.split(raw, "#"), 1)

@@ -35,7 +35,7 @@ def query(sql: str | None):
     return add
 
 
-# --- graph verbs -------------------------------------------------------------
+# graph verbs
 
 
 @query(f"{_N} SELECT {_COLUMNS} FROM nodes WHERE id = 'customer/7'")
@@ -152,7 +152,7 @@ def degree_out_by_rel(spark, d):
     return g.out_degree_by_rel(edges(spark, d))
 
 
-# --- trust and projection ----------------------------------------------------
+# trust and projection
 
 
 @query(f"{_N} SELECT id, tier FROM nodes")
@@ -214,7 +214,7 @@ def dot_lines(spark, d):
     return sinks.dot_lines(nodes(spark, d), edges(spark, d))
 
 
-# --- corpus analytics --------------------------------------------------------
+# corpus analytics
 
 
 @query(f"{_N} SELECT type, count(*) AS n FROM nodes GROUP BY type")
@@ -290,7 +290,7 @@ def validate_events(spark, d):
     return an.validate(c).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- text and resolution -----------------------------------------------------
+# text and resolution
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' & ' || p_brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import frontmatter as fm
 from ..functions import markdown as md
 from ..functions import text as t
-from ..functions.spec import DEFAULT_TYPE, MARKER
+from ..functions.spec import DEFAULT_TYPE, MARKER, VERSION_KEY
 from ..operators.resolve import read_target
 
 _GLOB = "*.[mM][dD]"
@@ -70,18 +70,21 @@ def with_defaults(c: DataFrame, types: dict[str, str] | None = None) -> DataFram
     return x.withColumn("type", kind).withColumn("title", title).drop("__dir")
 
 
-def root_version(found: DataFrame) -> DataFrame:
-    """(version) that the root index declares."""
-    line = F.regexp_extract("text", r"(?m)^[a-z]+_version:[ \t]*[\"']?([^\"'\r\n]*)", 1)
+def root_version(found: DataFrame, key: str = VERSION_KEY) -> DataFrame:
+    """(version) that the root index declares under ``key``, in the first such line."""
+    line = F.regexp_extract("text", rf"(?m)^{key}:[ \t]*[\"']?([^\"'\r\n]*)", 1)
     return found.where("rel_path = 'index.md'").select(F.trim(line).alias("version"))
 
 
 def output_paths(found: DataFrame) -> DataFrame:
     """(rel_path, output_path): reserved names become ``index-note.md``, ``index-note-2.md`` and so on where that is taken."""
-    taken = found.select(F.col("rel_path").alias("__taken"))
-    reserved = found.where(F.element_at(F.split("rel_path", "/"), -1).isin("index.md", "log.md")).select("rel_path")
     stem = F.regexp_replace("rel_path", r"\.md$", "-note")
-    tries = reserved.select("rel_path", stem.alias("stem"), F.explode(F.sequence(F.lit(1), F.lit(64))).alias("n"))
-    named = tries.withColumn("__name", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), F.lit(".md")))
-    free = named.join(taken, named["__name"] == taken["__taken"], "left_anti").groupBy("rel_path").agg(F.min_by("__name", "n").alias("output_path"))
-    return found.select("rel_path").join(free, "rel_path", "left").select("rel_path", F.coalesce("output_path", "rel_path").alias("output_path"))
+    reserved = found.where(F.element_at(F.split("rel_path", "/"), -1).isin("index.md", "log.md")).select("rel_path", stem.alias("stem"))
+    like = F.regexp_extract("rel_path", r"^((?:.*/)?(?:index|log)-note)(?:-([2-9]|[1-9][0-9]+))?\.md$", 1)
+    number = F.regexp_extract("rel_path", r"-note-([0-9]+)\.md$", 1)
+    taken = found.select(like.alias("stem"), F.when(number == "", 1).otherwise(number.try_cast("int")).alias("n")).where("stem <> '' and n is not null")
+    free = F.aggregate(F.sort_array(F.collect_set("n")), F.lit(1), lambda acc, n: F.when(n == acc, acc + 1).otherwise(acc))  # the least number that isn't taken
+    named = reserved.join(taken.groupBy("stem").agg(free.alias("n")), "stem", "left")
+    name = F.concat("stem", F.when(F.coalesce("n", F.lit(1)) > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), F.lit(".md"))
+    renamed = named.select("rel_path", name.alias("output_path"))
+    return found.select("rel_path").join(renamed, "rel_path", "left").select("rel_path", F.coalesce("output_path", "rel_path").alias("output_path"))

@@ -1,7 +1,7 @@
 """Writing graphs, tables and concept files.
 
-Tables are written by Spark. Exports for viewers are one file and meant for bounded
-graphs: rows stream through the driver and never gather there.
+Tables are written by Spark. Exports for viewers are one text in the driver: graphs of
+more than ``MOST_EXPORTED`` nodes and edges are refused; their lines can be written as tables.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 
+MOST_EXPORTED = 200_000
+
+
 def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
     """CSV with a header, null and empty both as ``""``; sorted by range over many files where an order is given."""
     texts = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
@@ -53,6 +56,9 @@ def _lines(df: DataFrame) -> Iterator[str]:
 
 def export(nodes: DataFrame, edges: DataFrame, kind: str) -> str:
     """A bounded graph as ``dot``, ``json``, ``graphml`` or ``html`` text."""
+    rows = nodes.select(F.lit(1)).unionAll(edges.select(F.lit(1))).limit(MOST_EXPORTED + 1).count()
+    if rows > MOST_EXPORTED:
+        raise ValueError(f"the graph has more than {MOST_EXPORTED} nodes and edges: write dot_lines, graphml_lines or the tables")
     if kind == "dot":
         return "digraph knowledge {\n  rankdir=LR;\n  node [shape=box];\n" + "".join(f"{x}\n" for x in _lines(dot_lines(nodes, edges))) + "}\n"
     if kind == "json":

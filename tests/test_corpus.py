@@ -43,7 +43,7 @@ def test_text_rules(spark):
         (t.clean_path(F.lit("a/./b/../c//d")), "a/c/d"), (t.clean_path(F.lit("../a")), "../a"), (t.clean_path(F.lit("/../a")), "/a"), (t.clean_path(F.lit("a/..")), "."),
         (t.shifted_date(F.lit("2024-01-31"), F.lit("+1m")), "2024-03-02"), (t.shifted_date(F.lit("2024-02-29"), F.lit("+1y")), "2025-03-01"), (t.shifted_date(F.lit("2024-01-01"), F.lit("+3d")), "2024-01-04"),
         (t.is_actor(F.lit("human:")), False), (t.is_actor(F.lit("tool/1.0")), True), (t.is_actor(F.lit("a tool/1")), False), (t.is_iso_date(F.lit("2024-02-30")), False), (t.is_iso_datetime(F.lit("2024-02-03T10:20:30.5Z")), True),
-        (t.is_concept_reference(F.lit("A.MD#x")), True), (t.is_concept_reference(F.lit("http://a/b.md")), False), (t.canonical_status(F.lit("WIP")), "draft"), (t.canonical_status(F.lit("odd")), None),
+        (t.is_concept_reference(F.lit("A.MD#x")), True), (t.is_concept_reference(F.lit("http://a/b.md")), False),
         (t.concept_id(F.lit("a/b.md")), "a/b"), (t.concept_id(F.lit("a/index.md")), ""), (t.sql_literal(F.lit("a'b\\")), "'a\\'b\\\\'"), (t.frontmatter(F.lit("---\na: 1\n---\nx")), "a: 1\n"), (t.body(F.lit("---\na: 1\n---\nx")), "x"),
         (tr.tier(F.from_json(F.lit('[{"by":"human:x"}]'), "array<struct<by:string,at:string>>")), "human-reviewed"), (tr.tier(F.lit(None).cast("array<struct<by:string,at:string>>")), "unverified"),
         (an.type_of_file(F.lit("adr-1.md")), "Decision"), (an.type_of_folder(F.lit("x/Policies")), "Policy"), (an.type_of_folder(F.lit("team-stories")), "TeamStory"),
@@ -82,14 +82,14 @@ def test_markdown_in_one_pass():
 def test_read_and_convert(spark, corpus, tmp_path):
     found = bd.files(spark, corpus)
     assert {r["rel_path"] for r in found.collect()} == set(CORPUS)
-    out = cv.convert(found, now="2024-06-01T00:00:00Z", fm_refs={"related": ""})
+    out = cv.convert(found, "2024-06-01T00:00:00Z", cv.Options(fm_refs=("related",)))
     rows = {r["output_path"]: r["text"] for r in out.files.collect()}
     assert set(rows) == {"README.md", "tables/orders.md", "guides/setup.md", "broken.md", "notes/index-note.md"}
     assert "[orders](/tables/orders.md#schema)" in rows["README.md"] and "[Set Up](/guides/setup.md)" in rows["README.md"]
     assert "`[no](link.md)` [home](/README.md) [gone](missing.md)" in rows["tables/orders.md"] and "  - sales\n  - core\n" in rows["tables/orders.md"]
     assert "## Related" in rows["guides/setup.md"] and "[Orders](/tables/orders.md)" in rows["guides/setup.md"] and "howto" in rows["guides/setup.md"]
     assert "x_recovery" in rows["broken.md"] and rows["broken.md"].endswith("a: [1\n---\nbody\n")
-    again = {r["output_path"]: r["text"] for r in cv.convert(found, now="2024-06-01T00:00:00Z", fm_refs={"related": ""}).files.collect()}
+    again = {r["output_path"]: r["text"] for r in cv.convert(found, "2024-06-01T00:00:00Z", cv.Options(fm_refs=("related",))).files.collect()}
     assert rows == again
     sinks.write_files(out.files.select(F.col("output_path").alias("path"), "text"), str(tmp_path / "out"))
     c = bd.bundle(spark, str(tmp_path / "out")).cache()
