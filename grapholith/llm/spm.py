@@ -341,27 +341,26 @@ def _merged(chars: np.ndarray, lens: np.ndarray, n: int, t: Table) -> list[bytes
 _WIDTHS = (4, 6, 8, 10, 12, 16, 24, 40, TOGETHER)  # chunks of about one length merge together
 
 
-class Memo(dict):
+class Memo:
     """Ids of chunks (UTF-8) between settled boundaries, in two generations: when the younger is full, the older goes. So memory is bounded and frequent chunks stay."""
 
-    def __init__(self, v: Vocabulary, most: int = 400_000):
-        self.v, self.most, self.table, self.older = v, most, None, {}
+    def __init__(self, v: Vocabulary, most: int = 250_000):
+        self.v, self.most, self.table, self.young, self.older = v, most, None, {}, {}
 
     def ids(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of different chunks, 32 bits each."""
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        got = list(map(self.get, chunks))
+        if len(self.young) > self.most:
+            self.young, self.older = {}, self.young
+        got = list(map(self.young.get, chunks))
         left = [i for i, x in enumerate(got) if x is None]
         if self.older:
             for i, x in zip(left, map(self.older.get, [chunks[i] for i in left])):
                 if x is not None:
-                    self[chunks[i]] = got[i] = x
+                    self.young[chunks[i]] = got[i] = x
             left = [i for i in left if got[i] is None]
         self.learn([chunks[i] for i in left if len(chunks[i]) <= TOGETHER])
         for i in left:
-            got[i] = self[chunks[i]]
+            got[i] = self.young.get(chunks[i]) or self.streamed(chunks[i])
         return got
 
     def learn(self, new: list[bytes]) -> None:
@@ -388,12 +387,12 @@ class Memo(dict):
                         got = _merged(data[np.minimum(starts[at, None] + np.arange(n), len(data) - 1)].ravel(), sizes[at], n, self.table)
                     else:
                         got = (merged if self.v.merges else lattice)([c.decode() for c in part], n, self.table, self.v)
-                    self.update((c, ids) for c, ids in zip(part, got) if ids is not None)
+                    self.young.update((c, ids) for c, ids in zip(part, got) if ids is not None)
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def streamed(self, chunk: bytes) -> bytes:
         ids = np.fromiter((i for part in stream(chunk.decode().replace(" ", BLANK), self.v) for i in part), np.int32).tobytes()
         if len(chunk) <= TOGETHER:
-            self[chunk] = ids
+            self.young[chunk] = ids
         return ids
 
 
