@@ -38,7 +38,7 @@ _NN_ARROW = pa.list_(pa.struct([("distance", pa.float64()), ("neighbor_id", pa.i
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): one vector an id, the least of several; without null ids and vectors that are null, empty or not finite."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.select(scratch.whole(df, id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     return rows.where("id is not null and v is not null and size(v) > 0").where(~bad).groupBy("id").agg(F.min("v").alias("v"))
 
 
@@ -251,9 +251,12 @@ def nearest(df: DataFrame, k: int, features: Features, kernel: Kernel, factor: f
     boxes = Boxes(placed.mapInArrow(_boxes_of_batch, schema).groupBy("cell").applyInArrow(_merged_boxes, schema).collect(), factor, 2 * cell)
     asked = rows if queries is None else vectors(queries, id_col, vector_col)
     state = asked.mapInArrow(_placed(features, None), plain).withColumn("nn", F.lit(None).cast(_NN))
-    start, stop = 0, 1
+    start, stop, state_table = 0, 1, None
     while True:
-        state = scratch.table(state, "queries")
+        before, state = state_table, scratch.table(state, "queries")
+        state_table = state
+        if before is not None:
+            scratch.drop(before)
         if (after := _wave(state, placed, boxes, kernel, k, start, stop)) is None:
             break
         state, start, stop = after, stop, min(4 * stop, stop + WIDEST)

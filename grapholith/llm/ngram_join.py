@@ -166,7 +166,7 @@ def gram_sets(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) ->
     """(doc_id, total, lone, f1, f2, tree, grams) of the documents that can have a partner."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc_id is not null and text is not null")
+    slim = docs.select(scratch.whole(docs, id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc_id is not null and text is not null")
     b = scratch.buckets(slim, 2_500_000)
     packed = slim.mapInArrow(_emit_grams(n, b), "bucket int, block bigint, head boolean, rows binary, grams binary")
     counted = packed.groupBy("bucket").applyInArrow(_frequencies, "block bigint, head boolean, rows binary, grams binary, df binary")
@@ -425,7 +425,7 @@ def classes(docs: DataFrame, n: int = N, t: float = T, id_col: str = "doc_id", t
     of their own, each with its links (to each other too), and share one row: the sum of the
     links and one class. An empty table gives no rows; other columns are left behind.
     """
-    ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    ids = docs.select(scratch.whole(docs, id_col).alias("doc_id")).where("doc_id is not null").distinct()
     found = _linked(docs, n, t, id_col, text_col)
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
@@ -449,7 +449,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = scratch.table(small, "edges")
+        e, before = scratch.table(small, "edges"), e
+        scratch.drop(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             return e.select(F.col("a").alias("doc_id"), F.col("b").alias("root"))

@@ -27,7 +27,7 @@ _SCHEMA_CUT = "window_id bigint, at int, whole boolean, ids array<int>, doc_ids
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    slim = docs.select(scratch.whole(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     n = min(scratch.buckets(slim, 6_000_000), MOST_PARTS)
     return slim.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 

@@ -34,7 +34,7 @@ _NUMBERS = re.compile(
     r"|(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<PHONE>(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?!\d|\.\d)|\+\d{8,15}(?!\d))"
 )
-_KEYS = re.compile(r"(?<![A-Za-z0-9_-])(?:(?P<SECRET>[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,100}|gh[pousr]_[A-Za-z0-9]{30,80}|xox[abprs]-[A-Za-z0-9-]{10,80}|eyJ[A-Za-z0-9_-]{20,400}\.[A-Za-z0-9_-]{10,400}(?:\.[A-Za-z0-9_-]{10,200})?)|(?P<IBAN>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?))(?![A-Za-z0-9_])")
+_KEYS = re.compile(r"(?<![A-Za-z0-9_-])(?:(?P<SECRET>[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?)|(?P<IBAN>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?))(?![A-Za-z0-9_])")
 _DIGITS = re.compile(r"[0-9]+(?:[^0-9]{1,40}[0-9]+)*")  # near digits together: numbers lie within _REACH of them
 _KEY_STARTS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|[spr]k[-_][A-Za-z0-9_-]{16}|gh[pousr]_[A-Za-z0-9]{30}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[A-Za-z0-9_-]{20,}\.|[0-9a-fA-F]{32}|[A-Z]{2}\p{Nd}{2}(?: ?[A-Z0-9]{4}){2}"  # of _KEYS, for Arrow
 _NAMES = re.compile(r"[A-Z][a-zà-ÿ]{2,15} [A-Z][a-zà-ÿ]{2,20}\b")

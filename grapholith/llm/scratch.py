@@ -3,24 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-_SETTING = "spark.checkpoint.dir"
-_UNKNOWN = 1 << 60  # Spark tells the largest number where it knows no size
-
+from ..operators.lineage import shared_folder
 
-def folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; a temporary one only where none is named (tests)."""
-    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="grapholith-")
-        spark.conf.set(_SETTING, named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+_UNKNOWN = 1 << 60  # Spark tells the largest number where it knows no size
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -33,12 +24,27 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; removed when Python ends."""
+    """Write ``df`` as Parquet in the shared folder and read it back; removed by :func:`drop`, or when Python ends."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(written: DataFrame) -> None:
+    """Remove a table of :func:`table` that nothing reads any more."""
+    _remove(written.sparkSession, written._table)
+
+
+def whole(df: DataFrame, id_col: str) -> Column:
+    """The id as a 64-bit integer; a column of another kind is refused before anything runs."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"ids must be integers, {id_col} is {kind.simpleString()}")
+    return F.col(id_col).cast("bigint")
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -82,7 +82,7 @@ def test_disguises_are_undone():
     assert x[toxicity.NAMES.index("disguised")] > 0 and x[toxicity.NAMES.index("insults")] == 0
 
 
-# --- URL filter --------------------------------------------------------------
+# URL filter
 
 
 def test_canonical_urls_and_the_join(spark):
@@ -98,7 +98,12 @@ def test_canonical_urls_and_the_join(spark):
 
 def test_bloom_has_no_false_negatives(spark):
     lst = spark.range(20_000).select(F.concat(F.lit("h/"), "id").alias("u"))
-    b = urls.bloom(lst, "u", 20_000)
+    blocks, probes = urls.shape(20_000, urls.MOST_BYTES)
+    b = urls.bloom(lst, "u", blocks, probes)
     inside = np.array([r["h"] for r in lst.select(F.xxhash64("u").alias("h")).collect()], np.int64).view(np.uint64)
     outside = np.random.default_rng(2).integers(0, 1 << 63, 100_000).astype(np.uint64)
     assert urls.may_hold(b, inside).all() and urls.may_hold(b, outside).mean() < 0.02
+    for most in (20_000, 5_000, 64):  # 8 bits a key, 2, and one block for all: still none lost
+        blocks, probes = urls.shape(20_000, most)
+        b = urls.bloom(lst, "u", blocks, probes)
+        assert b.nbytes <= most and urls.may_hold(b, inside, probes).all()
