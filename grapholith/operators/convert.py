@@ -213,6 +213,7 @@ def convert(found: DataFrame, now: str, options: Options | None = None) -> Conve
         blank = {k: F.lit("") for k in ("type", "title") if k in o.forget}
         parsed = parsed.withColumn("fm", F.filter("fm", lambda e: ~e["key"].isin(*o.forget))).withColumns(blank)
     c = bd.with_defaults(parsed, o.types).join(bd.output_paths(found), "rel_path")
+    authored = bd.facts(parsed.join(bd.output_paths(found), "rel_path").withColumn("id", t.concept_id("output_path")))  # before any default
     bare = lambda col: F.regexp_replace(F.col(col), r"(?i)\.md$", "")
     files = c.select(bare("rel_path").alias("source_path"), bare("output_path").alias("output_path"), "title")
     titles = c.select(bare("output_path").alias("target_id"), F.col("title").alias("target_title"))
@@ -245,7 +246,7 @@ def convert(found: DataFrame, now: str, options: Options | None = None) -> Conve
     if told:
         notes = notes.unionByName(found.sparkSession.createDataFrame([("", n) for n in told], "rel_path string, note string"))
     ready = c.select(F.col("output_path").alias("rel_path"), "title", fm.text_value(F.col("fm"), "description").alias("description"))
-    return Converted(done.select("rel_path", "output_path", "x.text"), links.select("rel_path", "kind", "target", "target_id", "resolved"), bd.facts(c), notes, index_files(ready))
+    return Converted(done.select("rel_path", "output_path", "x.text"), links.select("rel_path", "kind", "target", "target_id", "resolved"), authored, notes, index_files(ready))
 
 
 def overwritable(keys: list[str]) -> list[str]:

@@ -113,7 +113,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, id: str, direction: str = "out
     walked = steps(edges, direction, rel).where(F.col("a") == id)
     here = nodes.where(F.col("id") == id)
     found = nodes.join(walked.select(F.col("b").alias("id")), "id", "left_semi").join(here.select(F.lit(1)).limit(1), how="left_semi")
-    kept = _first(found, limit)
+    kept = cut(_first(found, limit))  # read three times
     ends = kept.select("id").unionByName(here.select("id")).distinct()
     return Answer(kept, _inside(walked, ends), limit=limit, capped=found.limit(limit + 1))
 

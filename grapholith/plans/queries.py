@@ -14,7 +14,7 @@ from ..operators import graph as g
 from ..operators import project as pr
 from ..operators import resolve as rs
 from ..sources import sinks
-from . import star
+from . import corpus, star
 from .star import EDGES_SQL, NODES_SQL, TODAY, edges, nodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,12 +117,13 @@ def path_shortest(spark, d):
     return _flat(g.path(nodes(spark, d), edges(spark, d), "customer/5", "region/1", 2, "both"))
 
 
-@query("SELECT false AS \"exists\", 0::INTEGER AS length, '' AS path, false AS not_found")
+@query(f"""{_NE}, w AS (SELECT 'region/0' AS id, 0 AS d UNION SELECT s.b, d + 1 FROM w JOIN st2 s ON s.a = w.id WHERE d < 5)
+SELECT count(*) > 0 AS "exists", CAST(coalesce(min(d), 0) AS INTEGER) AS length, '' AS path, false AS not_found FROM w WHERE id = 'region/1'""")
 def path_unreachable(spark, d):
     return _flat(g.path(nodes(spark, d), edges(spark, d), "region/0", "region/1", 5, "out"))
 
 
-@query("SELECT false AS \"exists\", 0::INTEGER AS length, '' AS path, true AS not_found")
+@query(f"""{_N} SELECT false AS "exists", 0::INTEGER AS length, '' AS path, count(*) < 2 AS not_found FROM nodes WHERE id IN ('region/0', 'region/none')""")
 def path_not_found(spark, d):
     return _flat(g.path(nodes(spark, d), edges(spark, d), "region/0", "region/none", 2, "both"))
 
@@ -243,9 +244,10 @@ def node_roles_lint(spark, d):
     return an.node_roles(nodes(spark, d), edges(spark, d), True)
 
 
-@query(f"SELECT id FROM ({_roles(False)}) WHERE role = 'orphan'")
+@query(f"""{_NE} SELECT id FROM nodes WHERE id NOT IN (SELECT "to" FROM edges WHERE "text" = 'placed_by') AND id NOT IN (SELECT "from" FROM edges WHERE "text" = 'placed_by')""")
 def orphans(spark, d):
-    return node_roles(spark, d).where("role = 'orphan'").select("id")
+    """Nodes that no order relation touches."""
+    return an.node_roles(nodes(spark, d), edges(spark, d).where("text = 'placed_by'"), False).where("role = 'orphan'").select("id")
 
 
 @query("SELECT 'user/' || user_id AS \"from\", 'customer/' || user_id AS \"to\", event_type AS \"text\" FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -298,31 +300,11 @@ def title_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", t.title_slug(F.concat("p_name", F.lit(" & "), "p_brand")).alias("slug"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_brand, replace(regexp_replace(lower(p_name), '[^a-z0-9_ -]', '', 'g'), ' ', '-') AS s FROM part),
-n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, s ORDER BY p_partkey) - 1 AS n FROM s) SELECT p_partkey, CASE WHEN n = 0 THEN s ELSE s || '-' || n END AS slug FROM n""")
-def heading_slug_dedupe(spark, d):
-    s = table(spark, d, "part").withColumn("s", t.heading_slug("p_name"))
-    n = F.row_number().over(Window.partitionBy("p_brand", "s").orderBy("p_partkey")) - 1
-    return s.select("p_partkey", F.when(n == 0, F.col("s")).otherwise(F.concat("s", F.lit("-"), n.cast("string"))).alias("slug"))
-
-
 @query("SELECT p_partkey, array_to_string([upper(w[1:1]) || w[2:] for w in string_split(p_name || ' ' || lower(p_type), ' ') if w <> ''], ' ') AS title FROM part")
 def humanise(spark, d):
     return table(spark, d, "part").select("p_partkey", t.humanise(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-"), F.lower("p_type"), F.lit(".md"))).alias("title"))
 
 
-@query("SELECT doc_id, lang || ',' || source AS tags FROM documents")
-def hashtags(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(t.hashtags(F.concat(F.lit("#"), "lang", F.lit(" a#b #"), "source", F.lit("\n#"), "lang")), ",").alias("tags"))
-
-
-@query("SELECT doc_id, trim(string_split(text, chr(10))[1]) AS title FROM documents WHERE trim(string_split(text, chr(10))[1]) <> '' AND NOT regexp_matches(text, '(^|\n)[ \t]*# ')")
-def first_line_title(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(^|\n)[ \t]*# "))
-    first = F.element_at(F.split("text", "\n"), 1)
-    return docs.select("doc_id", t.first_heading(F.concat(F.lit("# "), first, F.lit("\n"), F.lit("# other"))).alias("title")).where("title is not null")
-
-
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def href_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
@@ -333,17 +315,22 @@ def href_internal(spark, d):
     return href_extract(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(t.is_external_reference("href")).alias("external"))
 
 
-@query("""WITH x AS (SELECT DISTINCT user_id, event_type || '/' || user_id AS a, 'human:' AS b, ' process:' || event_type AS c FROM events) SELECT user_id, a, true AS a_ok, false AS b_ok, true AS c_ok FROM x""")
+_ACTORS = ("event_type || '/' || user_id", "'human:'", "' process:' || event_type", "event_type || ' x/' || user_id", "'team:a b'", "event_type", "event_type || '/'")
+_ACTOR = "CASE event_id % 7 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_ACTORS)) + " END"
+
+
+@query(f"SELECT event_id, {_ACTOR} AS actor, event_id % 7 IN (0, 2, 4) AS ok FROM events")
 def actor_valid(spark, d):
-    e = table(spark, d, "events").select("user_id", F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("a"), "event_type").distinct()
-    return e.select("user_id", "a", t.is_actor("a").alias("a_ok"), t.is_actor(F.lit("human:")).alias("b_ok"), t.is_actor(F.concat(F.lit(" process:"), "event_type")).alias("c_ok"))
+    return table(spark, d, "events").select("event_id", F.expr(_ACTOR).alias("actor")).select("event_id", "actor", t.is_actor("actor").alias("ok"))
 
 
-@query("""SELECT o_orderkey, true AS ok, false AS short, try_cast(strftime(o_orderdate, '%Y-%m-') || (15 + o_orderkey % 20) AS DATE) IS NOT NULL AS shifted, true AS timed FROM orders""")
+@query("""WITH x AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-') || (15 + o_orderkey % 20) AS s, CAST(o_orderkey % 30 AS VARCHAR) AS h FROM orders)
+SELECT o_orderkey, s, try_cast(s AS DATE) IS NOT NULL AS ok, try_cast(s AS DATE) IS NOT NULL AND o_orderkey % 30 BETWEEN 10 AND 23 AS timed, try_cast(s AS DATE) IS NOT NULL AND o_orderkey % 3 = 0 AS cut_off FROM x""")
 def iso_date_valid(spark, d):
-    o, day = table(spark, d, "orders"), F.date_format("o_orderdate", "yyyy-MM-dd")
-    odd = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), (15 + F.col("o_orderkey") % 20).cast("string"))
-    return o.select("o_orderkey", t.is_iso_date(day).alias("ok"), t.is_iso_date(F.substring(day, 1, 7)).alias("short"), t.is_iso_date(odd).alias("shifted"), t.is_iso_datetime(F.concat(day, F.lit("T12:30:00Z"))).alias("timed"))
+    o = table(spark, d, "orders")
+    x = o.select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-"), (15 + F.col("o_orderkey") % 20).cast("string")).alias("s"), (F.col("o_orderkey") % 30).cast("string").alias("h"))
+    kept = F.when(F.col("o_orderkey") % 3 == 0, F.col("s")).otherwise(F.substring("s", 1, 7))
+    return x.select("o_orderkey", "s", t.is_iso_date("s").alias("ok"), t.is_iso_datetime(F.concat("s", F.lit("T"), "h", F.lit(":30:00Z"))).alias("timed"), t.is_iso_date(kept).alias("cut_off"))
 
 
 @query("""SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + 45, '%Y-%m-%d') AS plus_days, strftime(CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) + CAST(day(o_orderdate) - 1 AS INTEGER), '%Y-%m-%d') AS plus_month,
@@ -386,3 +373,7 @@ def wiki_resolve(spark, d):
     links = part.select(F.concat(F.lit("p"), key).alias("link_id"), path.alias("target")).unionByName(part.select(F.concat(F.lit("n"), key).alias("link_id"), F.col("p_name").alias("target")))
     links = links.unionByName(customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("link_id"), F.col("c_name").alias("target"))).unionByName(nation.select(F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("link_id"), F.col("n_name").alias("target")))
     return rs.resolve(links.withColumn("from_dir", F.lit(".")), files).select("link_id", "target_id")
+
+
+QUERIES |= corpus.QUERIES
+ORACLE |= corpus.ORACLE

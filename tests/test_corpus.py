@@ -136,3 +136,114 @@ def test_infer_types_by_frontmatter_keys(spark):
     rows = [("p", "adr-1.md", None, ["goal", "title"]), ("p", "adr-2.md", None, None), ("m", "x.md", None, ["formula", "metric"]), ("m", "y.md", None, ["sql"]), ("m", "z.md", None, ["metric"]), ("w", "a.md", "Own", ["schema"]), ("few", "a.md", None, ["goal"]), ("few", "b.md", None, []), ("few", "c.md", None, ["title"]), ("tie", "a.md", "", ["schema", "query"])]
     got = {r["dir"]: (r["type"], r["tier"]) for r in an.infer_types(spark.createDataFrame(rows, "dir string, name string, authored string, keys array<string>")).collect()}
     assert got == {"p": ("Proposal", "frontmatter"), "m": ("Metric", "frontmatter"), "w": ("Own", "frontmatter"), "few": ("Few", "folder"), "tie": ("Schema", "frontmatter")}
+
+
+DEEP = "[" * 3000 + "]" * 3000
+BOMB = "a: &a [x, x, x, x, x, x, x, x, x, x]\n" + "".join(f"{b}: &{b} [{', '.join(['*' + a] * 10)}]\n" for a, b in zip("abcdef", "bcdefg"))
+
+
+@pytest.mark.parametrize("raw, reason", [("a: &x [*x]\n", "deeply"), (f"a: {DEEP}\n", "deeply"), ("? {b: c}\n: d\n", "scalar"), ("[a]: b\n", "scalar"), (BOMB, "many"), ("a: 1\na: 2\n", "twice"), ("- x\n", "mapping"), ("a: [1\n", ""), ("a: \x07\n", "")])
+def test_no_frontmatter_fails_a_job(raw, reason):
+    got = fm.parsed(f"---\n{raw}---\nbody\n")
+    assert got["fm"] == [] and got["body"] == f"---\n{raw}---\nbody\n" and reason in got["error"]
+
+
+def test_numbers_beyond_their_range_stay_texts():
+    raw = f"a: {'7' * 5000}\nb: 9223372036854775808\nc: -9223372036854775808\nd: 1e999\ne: 0x1F\nf: 1.5\n"
+    assert fm.load(raw) == {"a": "7" * 5000, "b": "9223372036854775808", "c": -(1 << 63), "d": "1e999", "e": 31, "f": 1.5}
+    assert fm.parsed(f"---\n{raw}---\n")["error"] is None
+
+
+def test_stamps_and_sources():
+    o = cv.Options(verified_by="human:me")
+    mine, other = {"by": "human:me", "at": "t"}, {"by": "human:you", "at": "s"}
+    assert cv.sign(None, "t", o) == ([mine], "") and cv.sign(other, "t", o) == ([other, mine], "")
+    assert cv.sign([mine], "t", o) == (None, "") and cv.sign([mine], "u", o)[0] == [mine, {"by": "human:me", "at": "u"}]
+    assert cv.sign("yes", "t", o)[0] is None and "yes" in cv.sign("yes", "t", o)[1]
+    quiet = cv.Options(verified_by="human:me", explicit=False)
+    assert cv.sign([other], "t", quiet)[0] is None and "human:you" in cv.sign([other], "t", quiet)[1] and cv.sign([mine], "u", quiet)[0]
+    o = cv.Options(source_keys=("source", "author", "none", "blank"), map_citations=True)
+    cited = [{"title": "T", "resource": "r"}, {"title": "", "resource": "http://a"}, {"title": "T", "resource": "r"}]
+    got = cv.sources({"source": " http://a ", "author": "human:x", "blank": " ", "sources": [{"resource": "r", "title": "T"}, "odd"]}, cited, o)
+    assert got == [{"resource": "r", "title": "T"}, "odd", {"resource": "http://a"}, {"author": "human:x"}]
+    assert cv.sources({}, [], o) is None and cv.has_text({"a": " "}, "a") is False and cv.has_text({"a": 0}, "a") and cv.is_true(" TRUE ") and not cv.is_true(1)
+
+
+def test_arguments():
+    assert cv.parse_map(" a/b/ = T , default=D,") == {"a/b": "T", "default": "D"} and cv.parse_map("") == {}
+    for bad in ("a", "=b", "a="):
+        with pytest.raises(ValueError):
+            cv.parse_map(bad)
+    assert [cv.version_number(v) for v in ("v1.2", "1.2", "V3", "vx")] == ["1.2", "1.2", "3", "vx"]
+    given = {"a": "wip", "b": "odd", "c": "draft"}
+    same, told, warned = cv.resolved_statuses(given, False)
+    assert same == given and len(told) == len(warned) == 2 and "'draft'" in warned[1]
+    real, told, warned = cv.resolved_statuses(given, True)
+    assert real == {"a": "draft", "b": "odd", "c": "draft"} and len(told) == 2 and len(warned) == 1
+
+
+def test_convert_with_options(spark):
+    rows = [("n/a.md", "---\ntype: T\ndraft: true\nstatus: ' '\nsource: http://s\nverified: yes please\n---\n# A\n[b](file:///home/me/work/n/b%20c.md#x) [o](file:///home/me/other/z.md) [e](file:///elsewhere/z.md) [r](file://host/home/me/work/n/a.md) [w](file:///home/me/work2/q.md)\n"), ("n/b c.md", "# B\r\n## X\n"), ("index.md", "bundle_version: '0.2'\n"), ("log.md", "l"), ("index-note.md", "i")]
+    found = spark.createDataFrame(rows, "rel_path string, text string")
+    o = cv.Options(map_draft=True, source_keys=("source",), verified_by="human:me", root="/home/me/work", workspace="/home/me/work", external_roots=("/home/me/other",), statuses={"default": "active"}, stale={"n": "+1m"})
+    out = cv.convert(found, "2024-01-31T00:00:00Z", o)
+    files = {r["output_path"]: r["text"] for r in out.files.collect()}
+    assert set(files) == {"n/a.md", "n/b c.md", "index-note.md", "index-note-2.md", "log-note.md"}
+    a = files["n/a.md"]
+    assert "status: draft" in a and "stale_after: '2024-03-02'" in a and "verified: yes please" in a and "  - resource: http://s" in a
+    assert "[b](/n/b c.md#x)" in a and "file:///home/me/other/z.md" in a and "file://host/" in a
+    assert "status: active" in files["n/b c.md"] and "by: human:me\n    at: '2024-01-31T00:00:00Z'" in files["n/b c.md"]
+    notes = sorted((r["rel_path"], r["note"]) for r in out.notes.collect())
+    assert [n[0] for n in notes] == ["", "n/a.md", "n/a.md", "n/a.md", "n/a.md"] and sum("outside" in n[1] for n in notes) == 2 and sum("another machine" in n[1] for n in notes) == 1
+    assert {r["part"]: r["n"] for r in out.gate().collect()} == {"unresolved": 4}
+    assert {r["path"] for r in out.bundle().collect()} == {*files, "index.md", "n/index.md"}
+    assert bd.root_version(found).first()["version"] == "0.2"
+    plan = cv.enrich(found, "2024-01-31T00:00:00Z", options=o)
+    assert {r["part"]: r["n"] for r in cv.enrich_gate(plan).collect()} == {"skipped": 0, "notes": 4}
+    assert cv.convert(found.where("false"), "2024-01-31T00:00:00Z").index.count() == 1
+    with pytest.raises(ValueError):
+        cv.convert(found, "2024-01-31T00:00:00Z", cv.Options(verified_by="nobody"))
+    with pytest.raises(ValueError):
+        cv.enrich(found, "2024-01-31T00:00:00Z", overwrite=("verified",))
+
+
+def test_carriage_returns_keep_comments(spark):
+    row = {"fm": [{"key": "a", "value": "1"}, {"key": "type", "value": '"T"'}, {"key": "title", "value": '"x"'}], "raw": "a: 1 # why\r\ntype: T\r\ntitle: x\r\n", "body": "b\n", "error": None, "type": "T", "title": "x", "markdown": [], "wiki": [], "related": []}
+    got = cv.complete(row, "2024-01-01T00:00:00Z", "", "", cv.Options())
+    assert got["text"].startswith("---\na: 1 # why\ntype: T\n") and "\r" not in got["text"] and len(got["notes"]) == 1
+
+
+def test_sinks(spark, tmp_path):
+    n = spark.createDataFrame([("b", 't"x'), ("a", None)], "id string, title string")
+    sinks.write_csv(n, str(tmp_path / "n"), ("id",))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "n").glob("part-*")))
+    assert text.replace("id,title\n", "") == 'a,""\nb,"t\\"x"\n' or "a," in text
+    report = json.loads(sinks.envelope("lint", {"b": 1, "a": "é<"}))
+    assert list(report) == ["grapholith", "command", "schema", "result"] and report["result"] == {"b": 1, "a": "é<"} and "é<" in sinks.envelope("x", {"a": "é<"})
+    with pytest.raises(ValueError):
+        sinks.export(spark.range(sinks.MOST_EXPORTED + 1).select(F.col("id").cast("string")), n, "dot")
+
+
+def test_catalog_text(spark):
+    rows = [("Table", "b.md", "* [B](/b.md)"), ("(untyped)", "z.md", "* [Z](/z.md)"), ("Table", "a.md", "* [A](/a.md)\n  * link: [Z](/z.md)")]
+    text = an.catalog_text(spark.createDataFrame(rows, "type string, rel_path string, line string")).first()["text"]
+    assert text == "\n# Catalog\n\n## Table\n\n* [A](/a.md)\n  * link: [Z](/z.md)\n* [B](/b.md)\n\n## (untyped)\n\n* [Z](/z.md)\n"
+
+
+def test_streaming_ingest(spark, tmp_path):
+    from grapholith.streaming import ingest
+
+    root = tmp_path / "corpus"
+    (root / "d").mkdir(parents=True)
+    (root / "d/a.md").write_text("---\ntype: T\n---\n# A\n")
+    (root / "b.MD").write_text("\ufeff# B\r")
+    (root / "c.txt").write_text("no")
+    run = lambda: ingest.ingest(ingest.changes(spark, str(root)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    assert run()
+    assert {r["rel_path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"d/a.md", "b.MD"}
+    (root / "e.md").write_text("---\nx: [\n---\n")
+    assert run()
+    got = {r["rel_path"]: (r["type"], r["recovered"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"d/a.md": ("T", False), "b.MD": ("", False), "e.md": ("", True)}
+    seen = ingest.arrivals(ingest.changes(spark, str(root))).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
+    assert seen.awaitTermination(120) and spark.table("arrivals").agg(F.sum("n")).first()[0] == 3
