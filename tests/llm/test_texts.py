@@ -296,6 +296,52 @@ def test_a_passage_whose_parts_others_have(make, monkeypatch):
     assert (5, 2, 25, 115) in found and {f[0] for f in found} == {5, *range(11, 19)}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_no_holder_of_a_passage_is_left_out(make, monkeypatch, hot):
+    """Each part of the passage has other first and last holders; only a document between them has all of it."""
+    if hot:  # no seed is linked by itself
+        monkeypatch.setattr(chaining, "_DIRECT", -1)
+    p = [f"w{k}" for k in range(55)]
+    parts = [p[k : k + 49] for k in range(7)]
+
+    def around(part, k):
+        return " ".join([f"a{k}x{i}" for i in range(40)] + part + [f"z{k}x{i}" for i in range(40)])
+
+    rows = [(k, around(part, k)) for k, part in enumerate([*parts, p, *parts, p])]
+    found = {(f["doc_id"], f["source_id"], f["first_word"], f["end_word"]) for f in chaining.passages(make(rows)).collect()}
+    assert found == {(15, 7, 40, 95)}
+
+
+def test_holders_against_brute_force(make, monkeypatch):
+    """Of all pairs that share 50 equal words, the later one's are covered, up to 3 words at an end that no seed has, and rows lead from one to the other."""
+    monkeypatch.setattr(chaining, "_DIRECT", 1)
+    r = random.Random(21)
+    pool = [[f"p{x}q{k}" for k in range(140)] for x in range(4)]
+    rows = []
+    for i in range(90):
+        words = []
+        for x in range(r.randint(1, 3)):
+            a, n = r.randrange(90), r.choice([20, 40, 48, 49, 51, 60, 75])
+            words += [f"o{i}x{x}y{k}" for k in range(r.randint(3, 30))] + r.choice(pool)[a : a + n]
+        rows.append((i, " ".join(words)))
+    found = chaining.passages(make(rows)).collect()
+    texts, root = {i: t.split() for i, t in rows}, {i: i for i, _ in rows}
+    covered = {i: set() for i in texts}
+    for f in found:
+        covered[f["doc_id"]] |= set(range(f["first_word"], f["end_word"]))
+        low, high = sorted((root[f["doc_id"]], root[f["source_id"]]))
+        root = {i: low if x == high else x for i, x in root.items()}
+    holders, pairs = {}, 0
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - 49):
+            for j in holders.setdefault(tuple(texts[i][k : k + 50]), []):
+                pairs += 1
+                assert root[i] == root[j] and set(range(k + 3, k + 47)) <= covered[i], (i, j, k)
+        for k in range(len(texts[i]) - 49):
+            holders[tuple(texts[i][k : k + 50])].append(i)
+    assert pairs > 300
+
+
 def test_texts_that_share_an_id_are_cut_each(make):
     shared, own, other = prose(51, 70), prose(52, 90), prose(53, 90)
     rows = [(1, f"{own} {shared}"), (5, f"{shared} {other}"), (5, f"{prose(54, 80)} {prose(55, 40)}"), (7, f"{prose(56, 5)} {shared}"), (7, f"{prose(56, 5)} {shared}")]
