@@ -342,6 +342,42 @@ def test_holders_against_brute_force(make, monkeypatch):
     assert pairs > 300
 
 
+def test_links_of_one_document_lie_in_several_buckets_and_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chaining, "_LINKS", 64, raising=False)
+    ats = [np.arange(10, dtype=np.uint32).tobytes()] * 40
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 40), pa.array(range(40)), pa.array(ats, pa.binary()), pa.array(ats, pa.binary())], ["doc_id", "source_id", "ats", "source_ats"])
+    out = list(chaining._hot_links(12)(iter([rows])))
+    assert len({x for b in out for x in b["bucket"].to_pylist()}) > 20  # a document in one bucket took all memory of a worker
+    assert max(sum(len(x) // 8 for x in b["ids"].to_pylist()) for b in out) <= 64
+    links = [(s, a, q) for b in out for i, s, a, q in zip(*([np.frombuffer(x, t) for x in b[c].to_pylist()] for c, t in (("ids", np.int64), ("sources", np.int64), ("at", np.uint32), ("source_at", np.uint32)))) for s, a, q in zip(s.tolist(), (a & 1023).tolist(), q.tolist())]
+    assert sorted(links) == [(s, a, a) for s in range(40) for a in range(10)]
+
+
+def test_words_of_a_document_go_to_a_block_once():
+    import pyarrow as pa
+
+    segs = [np.array([[0, p, p + 5, 10]], np.int32).tobytes() for p in (40, 40, 100)]
+    t = pa.table([pa.array([3] * 3, pa.int32()), pa.array([9, 9, 9]), pa.array([1, 2, 1]), pa.array(segs, pa.binary())], ["block", "doc_id", "source_id", "segs"])
+    got = {(r["owner"], r["side"]): (np.frombuffer(r["lows"], np.uint32).tolist(), np.frombuffer(r["highs"], np.uint32).tolist()) for r in chaining._ranges(t).to_pylist()}
+    assert got == {(9, 0): ([8, 50, 110], [40, 100, 142]), (1, 1): ([13, 55, 115], [45, 105, 147]), (2, 1): ([13, 55], [45, 87])}
+
+
+def test_chains_of_two_segments_equal_the_tree():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    at, to = rng.integers(0, 60, (2, 1000, 2))
+    at, to = np.c_[at, at + 4].ravel(), np.c_[to, to + 4].ravel()
+    cols = [np.repeat(np.arange(1000), 4), np.repeat(np.arange(1000), 4) + 5000, at.astype(np.uint32), to.astype(np.uint32)]
+    t = pa.table([pa.array([c.tobytes()], pa.binary()) for c in cols], ["ids", "sources", "at", "source_at"])
+    for x in chaining._chain_bucket(6, 50)(t)["segs"].to_pylist():
+        s = np.frombuffer(x, np.int32).reshape(-1, 4)
+        q = s[np.lexsort((s[:, 1], s[:, 1] - s[:, 2])), 1:].astype(np.int64)
+        assert [(k, *q[i].tolist()) for k, path in enumerate(chaining.chains(*q.T)) for i in path] == [tuple(y) for y in s.tolist()]
+
+
 def test_texts_that_share_an_id_are_cut_each(make):
     shared, own, other = prose(51, 70), prose(52, 90), prose(53, 90)
     rows = [(1, f"{own} {shared}"), (5, f"{shared} {other}"), (5, f"{prose(54, 80)} {prose(55, 40)}"), (7, f"{prose(56, 5)} {shared}"), (7, f"{prose(56, 5)} {shared}")]
