@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grapholith.llm import chaining, ngram_join, packing, pii, spm
@@ -355,6 +356,44 @@ def test_links_of_one_document_lie_in_several_buckets_and_small_batches(monkeypa
     assert sorted(links) == [(s, a, a) for s in range(40) for a in range(10)]
 
 
+def _line_holders(n: int = 300, words: int = 2000) -> tuple[list[list[str]], pa.Table]:
+    """Texts with one line, of which two more have a passage around it in common with every 9th word changed, and its seeds as ``_open`` packs them."""
+    rng = np.random.default_rng(3)
+    line = [f"line{i}" for i in range(12)]
+    texts = [[f"w{x}" for x in rng.integers(0, words, 40)] + line + [f"w{x}" for x in rng.integers(0, words, 40)] for _ in range(n)]
+    texts[250] = [x if i % 9 or x in line else f"z{i}" for i, x in enumerate(texts[20])]
+    ids = np.repeat(np.arange(n), 2)
+    at = np.tile(np.array([40, 46], np.uint32) | np.uint32(chaining._MARK), n)
+    return texts, chaining._packed(np.zeros(2 * n, np.int64), 1, ids, np.tile([11, 12], n), at, ids).drop_columns(["bucket"])
+
+
+def test_a_line_of_many_holders_gives_only_pairs_that_can_have_a_passage():
+    texts, t = _line_holders()
+    linked = chaining._open(1, None)(chaining._couples(1)(t).drop_columns(["bucket"]))  # all pairs came of this table once, and had to be aligned
+    assert len(linked) == 0
+    asked = chaining._asked(t)
+    rows = pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in texts]), *(c.combine_chunks() for c in asked.columns)], ["text", *asked.column_names])
+    around = pa.Table.from_batches(list(chaining._contexts(6, 0.7)(iter([rows]))))
+    for key in (11, 12):
+        one = around.filter(pa.array(np.array(around["key"]) == key)).drop_columns(["key"])
+        assert chaining._within(6, 35)(one).to_pylist() == [{"doc_id": 250, "source_id": 20}]
+        assert len(chaining._within(6, 0)(one)) == 300 * 299 // 2
+
+
+def test_bound_of_a_passage_is_never_too_low():
+    texts, t = _line_holders(251, 60)
+    asked = chaining._asked(t)
+    rows = pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in texts]), *(c.combine_chunks() for c in asked.columns)], ["text", *asked.column_names])
+    one = pa.Table.from_batches(list(chaining._contexts(6, 0.7)(iter([rows]))))
+    one = one.filter(pa.array(np.array(one["key"]) == 11)).drop_columns(["key"])
+    word = {w: i for i, w in enumerate({w for x in texts for w in x})}
+    codes = [np.array([word[w] for w in x]) for x in texts]
+    for least in (22, 24):
+        found = {(r["doc_id"], r["source_id"]) for r in chaining._within(6, least)(one).to_pylist()}
+        some = {(j, i) for j in range(60) for i in range(j) if 6 + chaining.align(codes[i][8:40], codes[j][8:40]) + chaining.align(codes[i][46:84], codes[j][46:84]) >= least}
+        assert some and some <= found
+
+
 def test_words_of_a_document_go_to_a_block_once():
     import pyarrow as pa
 
