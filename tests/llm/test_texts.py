@@ -394,6 +394,18 @@ def test_bound_of_a_passage_is_never_too_low():
         assert some and some <= found
 
 
+def test_pairs_of_a_key_are_linked_in_lots(monkeypatch):
+    ids = np.arange(150)
+    t = chaining._packed(ids * 0, 1, ids, ids, np.full(150, 7, np.uint32) | np.uint32(chaining._MARK), ids * 0).drop_columns(["bucket"])
+    t = t.rename_columns(["ids", "sources", "at", "keys"])
+    whole = chaining._open(4, 10**6)(t)
+    monkeypatch.setattr(chaining, "_LINKS", 100)
+    lots = chaining._open(4, 10**6)(t)
+    pairs = [sorted(zip(np.frombuffer(b"".join(x["ids"].to_pylist()), np.int64).tolist(), np.frombuffer(b"".join(x["sources"].to_pylist()), np.int64).tolist())) for x in (whole, lots)]
+    assert pairs[0] == pairs[1] == [(j, i) for j in range(150) for i in range(j)]
+    assert len(whole) <= 32 and max(len(x) for x in lots["ids"].to_pylist()) <= 8 * 250
+
+
 def test_words_of_a_document_go_to_a_block_once():
     import pyarrow as pa
 
