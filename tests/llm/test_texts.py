@@ -406,6 +406,64 @@ def test_pairs_of_a_key_are_linked_in_lots(monkeypatch):
     assert len(whole) <= 32 and max(len(x) for x in lots["ids"].to_pylist()) <= 8 * 250
 
 
+def _spot_holders(n: int, words: int) -> tuple[list[list[str]], pa.Table]:
+    """Texts with a line at both ends, of which two more have what lies between in common with every 9th word changed, and the line's seeds as ``_open`` packs them."""
+    rng = np.random.default_rng(4)
+    line = [f"line{i}" for i in range(12)]
+    texts = [line + [f"w{x}" for x in rng.integers(0, words, 80 + i % 40)] + line + [f"v{x}" for x in rng.integers(0, words, 20)] for i in range(n)]
+    texts[n - 5] = [x if i % 9 or x in line else f"z{i}" for i, x in enumerate(texts[20])]
+    ids = np.repeat(np.arange(n), 4)
+    at = np.array([p for x in texts for p in (0, 6, len(x) - 32, len(x) - 26)], np.uint32) | np.uint32(chaining._MARK)
+    return texts, chaining._packed(np.zeros(4 * n, np.int64), 1, ids, np.tile([11, 12], 2 * n), at, ids).drop_columns(["bucket"])
+
+
+def _spanned_pairs(texts: list[list[str]], t: pa.Table, least: float, identity: float) -> tuple[set, int]:
+    """The pairs that couples lead to, and the most links made at once."""
+    streamed = list(chaining._few(1)(chaining._couples(1)(t).drop_columns(["bucket"])))
+    direct = [x for x in streamed if not x["held"][0].as_py()]
+    kept = pa.concat_tables([x for x in streamed if x["held"][0].as_py()])
+    asked = chaining._windows_asked(kept.drop_columns(["bucket"]))
+    rows = pa.RecordBatch.from_arrays([pa.array([" ".join(texts[i]) for i in asked["holder"].to_pylist()]), *(c.combine_chunks() for c in asked.columns)], ["text", *asked.column_names])
+    around = pa.Table.from_batches(list(chaining._windows(6)(iter([rows]))))
+    out = list(direct)
+    for key in set(around["key"].to_pylist()):
+        out += chaining._spanned(1, least, identity)(around.filter(pa.array(np.array(around["key"]) == key)).drop_columns(["key"]))
+    pairs = {(i, j) for x in out for a, b in zip(x["ids"].to_pylist(), x["sources"].to_pylist()) for i, j in zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist())}
+    return pairs, max((sum(len(y) // 8 for y in x["ids"].to_pylist()) for x in out), default=0)
+
+
+def test_a_line_at_two_spots_gives_only_pairs_that_can_have_a_passage_over_both(monkeypatch):
+    texts, t = _spot_holders(300, 2000)
+    assert _spanned_pairs(texts, t, 35, 0.7) == ({(295, 20)}, 2)  # all 44,850 pairs were linked and packed at once
+    monkeypatch.setattr(chaining, "_LINKS", 500)
+    pairs, most = _spanned_pairs(texts, t, 0, 0.0)
+    assert pairs == {(j, i) for j in range(300) for i in range(j)} and most <= 500
+    monkeypatch.setattr(chaining, "_TALL", 100)  # no words are sent for most: sizes alone tell
+    assert (295, 20) in _spanned_pairs(texts, t, 35, 0.7)[0]
+
+
+def test_bound_of_a_couple_is_never_too_low(monkeypatch):
+    monkeypatch.setattr(chaining, "_BLOCK", 16)  # blocks of windows of several sizes
+    texts, t = _spot_holders(60, 40)
+    for spots in (8, 1):  # with 1, a seed at two spots counts as one wide spot
+        monkeypatch.setattr(chaining, "_SPOTS", spots)
+        for identity in (0.55, 0.6):
+            found, _ = _spanned_pairs(texts, t, 35, identity)
+            word = {w: i for i, w in enumerate({w for x in texts for w in x})}
+            codes = [np.array([word[w] for w in x]) for x in texts]
+            some = {(j, i) for j in range(60) for i in range(j) if chaining.align(codes[i][:-20], codes[j][:-20]) >= identity * max(len(codes[i]) - 20, len(codes[j]) - 20)}
+            assert some and some <= found
+
+
+def test_a_passage_between_two_lines_of_many_holders_is_found(make, monkeypatch):
+    monkeypatch.setattr(chaining, "_DIRECT", -1)  # no seed is linked by itself
+    line = [f"line{i}" for i in range(45)]
+    texts = [[f"a{i}x{k}" for k in range(15)] + line + [f"b{i}x{k}" for k in range(70)] + line + [f"c{i}x{k}" for k in range(15)] for i in range(40)]
+    texts[31][60:130] = [x if k % 5 else f"z{k}" for k, x in enumerate(texts[7][60:130])]  # no seed between the lines
+    found = {(f["doc_id"], f["source_id"], f["first_word"], f["end_word"]) for f in chaining.passages(make([(i, " ".join(x)) for i, x in enumerate(texts)])).collect()}
+    assert found == {(31, 7, 15, 175)}
+
+
 def test_words_of_a_document_go_to_a_block_once():
     import pyarrow as pa
 
