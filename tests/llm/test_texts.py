@@ -1,9 +1,11 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from grapholith.llm import chaining, ngram_join, packing, pii, spm
 
@@ -464,6 +466,42 @@ def test_a_passage_between_two_lines_of_many_holders_is_found(make, monkeypatch)
     assert found == {(31, 7, 15, 175)}
 
 
+def test_seeds_of_a_document_go_to_a_block_once(monkeypatch):
+    """A join gave a row a pair and seed of its later document, most of which the other one lacks."""
+    rng = np.random.default_rng(5)
+    ids, keys, at = rng.integers(0, 30, 900), rng.integers(0, 40, 900), rng.permutation(900).astype(np.uint32)
+    packed = chaining._packed(ids * 0, 1, ids, keys, at | np.uint32(chaining._MARK), ids[:0]).drop_columns(["bucket"])
+    seeds = chaining._held(packed)
+    assert seeds["holder"].to_pylist() == sorted(set(ids.tolist()))
+    both = [(j, i) for j in range(30) for i in range(j) if (i + j) % 3]
+    want = []
+    for j, i in both:
+        for k in range(40):
+            mine, others = (sorted(at[(ids == x) & (keys == k)].tolist()) for x in (j, i))
+            want += [(j, i, a, others[n % len(others)]) for n, a in enumerate(mine) if others]
+    monkeypatch.setattr(chaining, "_LINKS", 700)  # several lots
+    out = chaining._shared(12)(pa.table([pa.array([x[0] for x in both]), pa.array([x[1] for x in both])], ["doc_id", "source_id"]), seeds)
+    cols = [np.concatenate([np.frombuffer(x, t) for x in out[c].to_pylist()]) for c, t in (("ids", np.int64), ("sources", np.int64), ("at", np.uint32), ("source_at", np.uint32))]
+    assert (cols[2] & chaining._MARK > 0).all()
+    assert sorted(zip(cols[0].tolist(), cols[1].tolist(), (cols[2] & ~np.uint32(chaining._MARK)).tolist(), cols[3].tolist())) == sorted(want)
+    assert len(chaining._shared(12)(pa.table([pa.array([], pa.int64())] * 2, ["doc_id", "source_id"]), seeds)) == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from grapholith.llm import scratch
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle" in str(f)}
+    before = files()
+    t = scratch.table(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and t.count() == 700
+    scratch.drop(t)
+
+
 def test_words_of_a_document_go_to_a_block_once():
     import pyarrow as pa
 
