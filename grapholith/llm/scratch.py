@@ -2,50 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import kept, remove
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UNKNOWN = 1 << 60  # Spark tells the largest number where it knows no size
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended: nothing is left to ask
-        pass
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; removed by :func:`drop`, or when Python ends.
-
-    The write's own shuffle files go with its end, not when the driver happens to collect its garbage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._table = path
-    return out
+    """``df`` as a table of :func:`lineage.kept`; removed by :func:`drop`, or when Python ends."""
+    return kept(df, name)
 
 
 def drop(written: DataFrame) -> None:
     """Remove a table of :func:`table` that nothing reads any more."""
-    _remove(written.sparkSession, written._table)
+    remove(written.sparkSession, written._table)
 
 
 def whole(df: DataFrame, id_col: str) -> Column:

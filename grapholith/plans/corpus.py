@@ -17,6 +17,7 @@ from ..functions import trust as tr
 from ..operators import analytics as an
 from ..operators import convert as cv
 from ..operators import graph as g
+from ..operators.lineage import spread
 from ..sources import bundle as bd
 from .star import TODAY, table
 
@@ -54,6 +55,7 @@ _ROWS = "customers AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nat
 def files(spark, d) -> DataFrame:
     """(rel_path, text)."""
     nation, customer, supplier = (table(spark, d, x) for x in ("nation", "customer", "supplier"))
+    customer, supplier = spread(customer, "c_custkey"), spread(supplier, "s_suppkey")  # before the texts are filled in
     people = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     path = lambda folder, key, end=".md": F.concat(F.lit(folder), F.col(key).cast("string"), F.lit(end)).alias("rel_path")
     plain = F.when(F.col("s_suppkey") % 5 == 0, _BAD).otherwise(_spark(_filled(_SUPPLIER)))

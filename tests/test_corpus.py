@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,63 @@ def test_streaming_ingest(spark, tmp_path):
     assert got == {"d/a.md": ("T", False), "b.MD": ("", False), "e.md": ("", True)}
     seen = ingest.arrivals(ingest.changes(spark, str(root))).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     assert seen.awaitTermination(120) and spark.table("arrivals").agg(F.sum("n")).first()[0] == 3
+
+
+SIMPLE = ["a: x\n", "title: Customer#1\nstatus: stable\nstale_after: \"1999-01-01\"\nat: 'x: #y'\n", "n: 12\nf: 1.5\nb: yes\nt: true\nx: 0x1F\nd: 2000-01-01T00:00:00Z\n", "u: http://x/y#z\ns: a  b (c) -d\n"]
+HARDER = ["a: b: c\n", "a: b #c\n", "a:\n  - b\n", "a: |\n  b\n", "a: [x, y]\n", "a: \"x\\ty\"\n", "a: 'it''s'\n", "a: \n", "- a\n", "a: é\n", "a: b:\n", "a: x", "a: b\n c\n", "a: &x y\n", "a: x\ty\n"]
+
+
+@pytest.mark.parametrize("raw", [*SIMPLE, *HARDER])
+def test_a_line_a_key_is_read_as_yaml_reads_it(raw, monkeypatch):
+    result = lambda f, *a: _result(f, *a)
+    fast = result(fm.load, raw)
+    new = {"a": "z", "title": "Customer#1", "tags": ["x", "y"], "generated": {"by": "me", "at": "2000-01-01"}}
+    spliced = result(fm.splice, raw, new)
+    monkeypatch.setattr(fm, "_SIMPLE", re.compile("(?!)"))  # all by the parser
+    assert repr(fast) == repr(result(fm.load, raw)) and spliced == result(fm.splice, raw, new)
+
+
+def _result(f, *args):
+    try:
+        return f(*args)
+    except fm.FrontmatterError as e:
+        return str(e)
+
+
+def test_simple_frontmatter_needs_no_parser(monkeypatch):
+    fm.dump({"status": "stable"})
+    monkeypatch.setattr(fm.yaml, "compose", None)
+    monkeypatch.setattr(fm.yaml, "dump", None)
+    assert [list(fm.load(x)) for x in SIMPLE[:2]] == [["a"], ["title", "status", "stale_after", "at"]]
+    assert fm.splice("a: x\n", {"a": "x", "status": "stable"}) == "a: x\nstatus: stable\n"
+    with pytest.raises(fm.FrontmatterError, match="twice"):
+        fm.load("a: x\na: y\n")
+
+
+def test_a_list_that_is_there_twice_is_not_remembered():
+    one = ["x"]
+    assert fm.dump({"a": ["x"], "b": ["x"]}) == "a:\n  - x\nb:\n  - x\n"
+    assert "&id001" in fm.dump({"a": one, "b": one}) and "&id001" not in fm.dump({"a": ["x"], "b": ["x"]})
+
+
+def test_files_are_parsed_and_finished_once(spark):
+    found = spark.createDataFrame([("a/b.md", "---\ntype: X\n---\nsee [[c]]\n"), ("a/c.md", "# C\n")], "rel_path string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    done = cv.convert(found, "2024-06-01T00:00:00Z")
+    for part in (done.files, done.links, done.facts, done.notes, done.index):
+        assert "_parse(" not in plan(part)  # each part parsed all files again, some of them several times
+    assert plan(done.files).count("finish(") == 1
+    out = cv.enrich(found, "2024-06-01T00:00:00Z")
+    assert "finish(" not in plan(out) and {r["rel_path"]: r["status"] for r in out.collect()} == {"a/b.md": "enriched", "a/c.md": "enriched"}
+    parts = an.lint(bd.concepts(found), bd.facts(bd.concepts(found)), "2024-06-01")
+    assert all("_parse(" not in plan(x) for x in parts.values())
+    named = found.select(t.directory("rel_path").alias("dir"), F.element_at(F.split("rel_path", "/"), -1).alias("name"), fm.text_value(fm.parse(F.col("text"))["fm"], "type").alias("authored"))
+    assert "_parse(" not in plan(an.infer_types(named))
+
+
+def test_rows_of_one_row_group_go_to_all_cores(spark):
+    from grapholith.plans import corpus as plan
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = plan.files(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(rows) > 3 * cores and max(r["count"] for r in rows) <= 60  # 185 files, of which one task had 150
