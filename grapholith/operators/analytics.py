@@ -99,9 +99,9 @@ def lint(concepts: DataFrame, facts: DataFrame, today: str, entrypoints: tuple[s
     """
     from ..sources import bundle as bd
     from .graph import edges_of, nodes_of
-    from .lineage import cut
+    from .lineage import kept
 
-    concepts, facts = cut(concepts), cut(facts)  # every bucket reads them
+    concepts, facts = kept(concepts, "concepts"), kept(facts, "facts")  # every bucket reads them, by column
     links = bd.bundle_links(concepts)
     nodes = nodes_of(concepts, today)
     roles = node_roles(nodes, edges_of(links), True, entrypoints)

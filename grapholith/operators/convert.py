@@ -20,6 +20,7 @@ from ..functions import text as t
 from ..functions.spec import MARKER, PROTECTED, STATUS_ALIASES, STATUSES, VERSION, VERSION_KEY
 from ..sources import bundle as bd
 from . import resolve as rs
+from .lineage import kept
 
 
 @dataclass
@@ -202,13 +203,16 @@ def index_files(concepts: DataFrame, version: str = VERSION, key: str = VERSION_
     return dirs.select(path.alias("rel_path"), F.concat(head, listed("files", "Concepts"), gap, listed("dirs", "Subdirectories")).alias("text"))
 
 
-def convert(found: DataFrame, now: str, options: Options | None = None) -> Converted:
-    """Bundle files of a corpus (rel_path, text); a file that doesn't parse becomes a plain concept with a note."""
+def convert(found: DataFrame, now: str, options: Options | None = None, keep: bool = False) -> Converted:
+    """Bundle files of a corpus (rel_path, text); a file that doesn't parse becomes a plain concept with a note.
+
+    Files are parsed once, into a table. ``keep``: so are the finished ones, for those who read both them and the notes.
+    """
     o = options or Options()
     if o.verified_by and not _ACTOR.fullmatch(o.verified_by.strip()):
         raise ValueError(f"{o.verified_by!r} is no actor")
     statuses, told, _ = resolved_statuses(o.statuses, o.canonical)
-    parsed = bd.concepts(found)
+    parsed = kept(bd.concepts(found), "parsed")
     if o.forget:
         blank = {k: F.lit("") for k in ("type", "title") if k in o.forget}
         parsed = parsed.withColumn("fm", F.filter("fm", lambda e: ~e["key"].isin(*o.forget))).withColumns(blank)
@@ -241,6 +245,7 @@ def convert(found: DataFrame, now: str, options: Options | None = None) -> Conve
 
     pairs = [F.coalesce(k, F.array().cast(_PAIRS)).cast(_PAIRS).alias(k) for k in ("markdown", "wiki", "related")]
     done = x.select("rel_path", "output_path", finish(F.struct("fm", "raw", "body", "error", "type", "title", *pairs), F.coalesce(status, F.lit("")), after).alias("x"))
+    done = kept(done, "finished") if keep else done
     outside = rs.address_note(F.col("target"), o.root, o.workspace or o.root, o.external_roots)
     notes = done.select("rel_path", F.explode("x.notes").alias("note")).unionByName(asked.where("kind = 'markdown'").select("rel_path", outside.alias("note")).where("note is not null"))
     if told:
@@ -260,7 +265,7 @@ def enrich(found: DataFrame, now: str, overwrite: tuple[str, ...] = (), dry_run:
     """(rel_path, status, added, overwritten, notes, text): what converting in place would change; keys are told by name."""
     o = replace(options or Options(), forget=tuple(overwritable(list(overwrite))))
     before = bd.concepts(found).select("rel_path", F.col("fm").alias("old"), "error")
-    done = convert(found, now, o)
+    done = convert(found, now, o, keep=True)
     notes = done.notes.groupBy("rel_path").agg(F.sort_array(F.collect_list("note")).alias("notes"))
     x = before.join(done.files.select("rel_path", "text"), "rel_path").join(notes, "rel_path", "left").withColumn("p", fm.parse(F.col("text")))
     keys = lambda c: F.transform(c, lambda e: e["key"])
