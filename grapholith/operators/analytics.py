@@ -249,6 +249,9 @@ def infer_types(files: DataFrame, overrides: dict[str, str] | None = None) -> Da
 
     ``keys``, if there, is an array of each file's frontmatter keys; null for none.
     """
+    from .lineage import kept
+
+    files = kept(files, "named")  # each vote reads them
     clean = files.withColumn("authored", F.nullif(F.trim("authored"), F.lit(""))).withColumn("named", type_of_file(F.col("name")))
     wrote = majority(clean, "dir", "authored").where(F.col("n") * 2 >= F.col("total")).select("dir", F.col("authored").alias("a"))
     named = majority(clean, "dir", "named").where((F.col("n") * 2 >= F.col("total")) | (F.col("n") >= 2)).select("dir", F.col("named").alias("p"))
