@@ -17,7 +17,7 @@ from ..functions import trust as tr
 from ..operators import analytics as an
 from ..operators import convert as cv
 from ..operators import graph as g
-from ..operators.lineage import spread
+from ..operators.lineage import kept, spread
 from ..sources import bundle as bd
 from .star import TODAY, table
 
@@ -233,7 +233,7 @@ def corpus_lint(spark, d):
 @query("""SELECT 'orphans' AS part, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) AS n
 UNION ALL SELECT 'stale', count(*) FROM customers WHERE c_custkey % 2 = 0 UNION ALL SELECT 'unresolved', count(*) FROM customers UNION ALL SELECT 'unparsed_frontmatter', count(*) FROM supplier WHERE s_suppkey % 5 = 0""")
 def corpus_review_gate(spark, d):
-    c = concepts(spark, d)
+    c = kept(concepts(spark, d), "concepts")  # every part reads them
     links = bd.bundle_links(c)
     broken = links.where(~F.col("resolved") & t.is_concept_reference("raw_target")).select(F.col("concept_id").alias("from"), "raw_target")
     return an.strict_counts(an.review(g.nodes_of(c, TODAY), g.edges_of(links), broken, c.where("error is not null").select("rel_path")))
