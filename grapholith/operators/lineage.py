@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-PART = 8 << 20  # bytes of a plan's result, as Catalyst guesses it from its files
+PART = 1 << 20  # bytes of a plan's result, as Catalyst guesses it from its files
 SMALL = 100_000  # rows of ids that every executor may get
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trust as tr
+from ..operators.lineage import in_parts
 
 TODAY = "2000-06-01"
 _NODES = {
@@ -63,7 +64,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, kind).select(node_id(kind, key).alias("from"), node_id(to, fk).alias("to"), F.lit(text).alias("text")) for kind, key, to, fk, text in _EDGES]
-    lines = table(spark, sf_dir, "lineitem")
+    lines = in_parts(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), "l_orderkey")
     for to, key, text in (("part", "l_partkey", "contains"), ("supplier", "l_suppkey", "supplied_by")):
         pairs = lines.select("l_orderkey", key).distinct()  # of numbers, before they become texts
         parts.append(pairs.select(node_id("orders", "l_orderkey").alias("from"), node_id(to, key).alias("to"), F.lit(text).alias("text")))

@@ -81,3 +81,15 @@ def test_view_equals_the_api(spark):
     x, y = (sorted(map(tuple, f(nodes, stamps, "2000-06-01").collect())) for f in (pr.derived_trust, pr.derived_trust_api))
     assert x == y == [("a", "human-reviewed", True), ("b", "machine-confirmed", False), ("c", "unverified", False)]
     assert pr.load_statement(stamps.limit(0), "T", ["node_key"]).startswith("-- T") and "PROPERTY GRAPH" in pr.schema_ddl() and "COUNTIF" in pr.derivation_sql()
+
+
+def test_parts_follow_the_size_of_the_rows(spark, monkeypatch):
+    from grapholith.operators import lineage
+
+    rows = spark.range(4000).select((F.col("id") % 500).alias("k"), "id")
+    assert lineage.in_parts(rows, "k").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(lineage, "PART", 1000)
+    parts = lineage.in_parts(rows, "k")
+    many = lineage.in_parts(rows.unionByName(rows), "k")
+    assert 40 < parts.rdd.getNumPartitions() < many.rdd.getNumPartitions() and parts.select("k").distinct().count() == 500
+    assert parts.select("k").distinct()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # those equal are together already
