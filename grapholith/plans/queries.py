@@ -236,18 +236,18 @@ SELECT id, CASE WHEN id IN (SELECT id FROM i) THEN 'linked' WHEN id IN (SELECT i
 
 @query(_roles(False))
 def node_roles(spark, d):
-    return an.node_roles(nodes(spark, d), edges(spark, d), False)
+    return an.node_roles(star.bare_nodes(spark, d), edges(spark, d), False)
 
 
 @query(_roles(True))
 def node_roles_lint(spark, d):
-    return an.node_roles(nodes(spark, d), edges(spark, d), True)
+    return an.node_roles(star.bare_nodes(spark, d), edges(spark, d), True)
 
 
 @query(f"""{_NE} SELECT id FROM nodes WHERE id NOT IN (SELECT "to" FROM edges WHERE "text" = 'placed_by') AND id NOT IN (SELECT "from" FROM edges WHERE "text" = 'placed_by')""")
 def orphans(spark, d):
     """Nodes that no order relation touches."""
-    return an.node_roles(nodes(spark, d), edges(spark, d).where("text = 'placed_by'"), False).where("role = 'orphan'").select("id")
+    return an.node_roles(star.bare_nodes(spark, d), edges(spark, d).where("text = 'placed_by'"), False).where("role = 'orphan'").select("id")
 
 
 @query("SELECT 'user/' || user_id AS \"from\", 'customer/' || user_id AS \"to\", event_type AS \"text\" FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
